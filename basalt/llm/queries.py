@@ -20,6 +20,50 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, quality_scores
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = fit_quality(docs.where(~held_out).join(labels, "doc_id"))
+    return quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_languages, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    models = fit_languages(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return identify(docs, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.to_json("shares").alias("shares"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dac import read_codes, write_codes
+
+    return read_codes(write_codes(_table(spark, sf_dir, "documents"), _vocabulary()))
+
+
+def _counts(spans: str, kinds: tuple[str, ...]) -> list:
+    def count(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return [count(k) for k in kinds]
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, personal_spans
+
+    found = personal_spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *_counts("base", KINDS), F.sha2(_spelled("base"), 256).alias("base_sha256"), _spelled("found").alias("spans"))
+
+
+def _spelled(spans) -> F.Column:
+    """kind:start:end of all spans in order, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_round_trip
 
@@ -32,5 +76,25 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_codec, op7_ngram_jaccard_join)}
+def op9_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_conversations
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return read_conversations(format_conversations(turns.union(own)))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, secret_spans
+
+    found = secret_spans(_table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda s: s["kind"].isin(*BASE))
+    return found.select("doc_id", *_counts("found", BASE), F.sha2(_spelled(base), 256).alias("base_sha256"), _spelled(F.col("found")).alias("spans"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_classifier, op2_language_id, op4_bpe_codec, op5_token_files, op6_pii, op7_ngram_jaccard_join, op9_chat_template, op10_secret_scan)
+}
 SQL: dict[str, str] = {}

@@ -101,3 +101,69 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def hashed_ngrams(words: list[str], sizes: tuple[int, ...], buckets: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of each word's character n-grams, with `<` and `>` at its ends; `whole` adds the word itself.
+
+    Returns all buckets, word after word, and each word's offsets among them. A power of two of buckets.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(lengths)
+    starts, owner = ends - lengths, np.repeat(np.arange(len(words)), lengths)
+    place = np.arange(len(points)) - starts[owner]
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    found, of = [], []
+    with np.errstate(over="ignore"):
+        for k in sizes:
+            h = np.full(len(points), np.uint64(k))
+            for j in range(k):
+                h[: len(points) - j] = (h[: len(points) - j] ^ points[j:]) * _STEP
+                h ^= h >> np.uint64(29)
+            keep = place + k <= lengths[owner]
+            found.append((h[keep] * _STEP) >> shift)
+            of.append(owner[keep])
+        if whole:
+            h = (points + np.uint64(7)) * (_STEP + (place.astype(np.uint64) << np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+            h ^= h >> np.uint64(31)
+            total = np.add.reduceat(h * _STEP, starts) if len(words) else np.empty(0, np.uint64)
+            found.append(((total ^ (total >> np.uint64(33))) * _STEP) >> shift)
+            of.append(np.arange(len(words)))
+    of = np.concatenate(of) if of else np.empty(0, np.int64)
+    order = np.argsort(of, kind="stable")
+    flat = np.concatenate(found)[order].astype(np.int64) if found else np.empty(0, np.int64)
+    return flat, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(words)))])
+
+
+def bounded_sample(rows: DataFrame, most_rows: int, most_chars: int, per: str | None = None) -> list:
+    """At most `most_rows` rows (for each value of `per`) of (doc_id, text, ...) and `most_chars` characters in all.
+
+    The choice follows the hash of doc_id alone, so it does not depend on the layout of the input.
+    """
+    import hashlib
+
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    rows = rows.where("text is not null")
+    if per:
+        rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("_nth") <= most_rows)
+        sizes = rows.select("doc_id", F.length("text").alias("n"), "_nth").orderBy("_nth", *order).limit(most_rows * 256).collect()
+    else:
+        sizes = rows.select("doc_id", F.length("text").alias("n")).orderBy(*order).limit(most_rows).collect()
+    ids, left = set(), most_chars
+    for r in sizes:
+        if r.n <= left:
+            ids.add(r.doc_id)
+            left -= r.n
+    if not ids:
+        return []
+    spark = rows.sparkSession
+    chosen = F.broadcast(spark.createDataFrame([(i,) for i in sorted(x for x in ids if x is not None)], "doc_id long"))
+    out = rows.join(chosen, "doc_id").collect()
+    return sorted(out, key=lambda r: (r.doc_id, hashlib.sha1((r.text or "").encode()).digest()))
