@@ -21,13 +21,25 @@ SAMPLE_CHARS = 16_000_000
 BUCKETS = 1 << 17
 SIZES = (3, 4)
 DIMENSIONS = 8
+#: Stands for a word that repeats the one before it.
+AGAIN = "\x00"
 
 
-def _bags(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct features of each text with their share of all its features: buckets, shares, offsets."""
+def _stream(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the words, texts' offsets, features of each code, features' offsets. A word said again at once is a word of its own kind."""
     flat, offsets = split_words(array, lower=False)
     codes, words = coded(flat)
-    features, of = hashed_ngrams(words, SIZES, BUCKETS, whole=True)
+    if len(codes):
+        again = np.concatenate([[False], codes[1:] == codes[:-1]])
+        again[offsets[:-1][offsets[:-1] < len(codes)]] = False
+        codes = np.where(again, len(words), codes)
+        words.append(AGAIN)
+    return codes, offsets, *hashed_ngrams(words, SIZES, BUCKETS, whole=True)
+
+
+def _bags(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct features of each text with their share of all its features: buckets, shares, offsets."""
+    codes, offsets, features, of = _stream(array)
     buckets, shares, ends = [], [], [0]
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         c, n = np.unique(codes[a:b], return_counts=True)
@@ -82,9 +94,7 @@ class SubwordClassifier:
 
 def score_texts(array: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     """The probability of class 1 for each text."""
-    flat, offsets = split_words(array, lower=False)
-    codes, words = coded(flat)
-    features, of = hashed_ngrams(words, SIZES, len(table), whole=True)
+    codes, offsets, features, of = _stream(array)
     sums, counts = segment_sums(table[features], of), np.diff(of)
     total, n = segment_sums(sums[codes], offsets), segment_sums(counts[codes], offsets)
     return 1 / (1 + np.exp(-(np.divide(total, n, out=np.zeros_like(total), where=n > 0) + bias)))

@@ -64,6 +64,12 @@ def _spelled(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def op3_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_round_trip
 
@@ -76,6 +82,13 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "reparameterised")
+
+
 def op9_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_conversations, read_conversations
 
@@ -95,6 +108,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_language_id, op4_bpe_codec, op5_token_files, op6_pii, op7_ngram_jaccard_join, op9_chat_template, op10_secret_scan)
+    for f in (op1_quality_classifier, op2_language_id, op3_ann_tree, op4_bpe_codec, op5_token_files, op6_pii, op7_ngram_jaccard_join, op8_decontamination, op9_chat_template, op10_secret_scan)
 }
 SQL: dict[str, str] = {}

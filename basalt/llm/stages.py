@@ -8,8 +8,33 @@ from pyspark.sql import functions as F
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _same_row(docs: DataFrame) -> DataFrame:
+    """The documents with `row_key`, which with doc_id tells rows apart by their text."""
+    return docs.withColumn("row_key", F.xxhash64("text"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents without a recognisable language go: null texts, texts without a letter.
+
+    The models learn from the documents' own lang column; a text in any mixture of learned
+    languages stays, and lang of a kept document is as it was.
+    """
+    from .langid import UNKNOWN, fit_languages, infer
+    from .text import slices, texts
+
+    models = fit_languages(docs.select("doc_id", "text", "lang"))
+    if not models.names:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            langs, _, _ = infer(texts(batch), models)
+            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+
+    kept = docs.select(*COLUMNS)
+    return kept.mapInArrow(run, kept.schema)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +50,19 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that hold a benchmark item go, re-parameterised ones as well."""
+    from .decontam import contaminated
+
+    hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("hit_id"), F.col("key").alias("row_key")).distinct()
+    rows = _same_row(docs)
+    return rows.join(hits, rows.doc_id.eqNullSafe(hits.hit_id) & (rows.row_key == hits.row_key), "left_anti").select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Personal data in the texts is replaced by its kind in brackets; all documents stay."""
+    from .pii import redacted
+
+    return redacted(docs)
 
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
