@@ -25,7 +25,7 @@ def iterate(base: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: b
             seen = parts[0]
             for p in parts[1:]:
                 seen = seen.union(p)
-            fresh = fresh.distinct().exceptAll(fresh.distinct().intersect(seen))
+            fresh = fresh.subtract(seen)
         delta = stored(fresh, "round")
         n = delta.count()
         if not n:
