@@ -7,7 +7,9 @@ of queries, answers over all rows by brute force (in blocks) show how far visits
 
 Equal vectors are one point that keeps its smallest ids, as many as a result can show, so a
 vector that a third of the rows share costs one point. Large leaves are dealt out in parts, and
-queries meet a leaf's part in one matrix product.
+queries meet a leaf's part in one matrix product. A leaf answers with its best points that reach
+the query's bar, a score that a few times k points of the fitted sample reach; a query that finds
+too few points above its bar visits its leaves again without one.
 """
 
 from __future__ import annotations
@@ -28,9 +30,11 @@ LEAVES = 4096
 CALIBRATION = 200
 BRANCH = 16
 PART = 4096
-#: Points that a leaf should hold, and the recall that calibration must show.
+#: Points that a leaf should hold: this number, or this multiple of the square root of all, so that leaves visited
+#: grow less than the rows; and the recall that calibration must show.
 LEAF_POINTS = 256
-RECALL = 0.97
+LEAF_ROOTS = 4
+RECALL = 0.95
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -83,17 +87,21 @@ class MeansTree:
             stack += [(int(kid), rows[near == c]) for c, kid in enumerate(kids)]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves for a query, best bin first, `most` of them: a queue of nodes by their centre's inner product."""
+    def visit(self, q: np.ndarray, most: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """Leaves for a query, best bin first: a queue of nodes by their centre's inner product.
+
+        Goes on until `most` leaves were visited and, by `sizes`, `least` points seen.
+        """
         value = self.centres @ q
-        heap, out = [(-value[0], 0)], []
-        while heap and len(out) < most:
+        heap, out, seen = [(-value[0], 0)], [], 0
+        while heap and (len(out) < most or seen < least):
             _, node = heapq.heappop(heap)
             if self.kids[node]:
                 for kid in self.kids[node]:
                     heapq.heappush(heap, (-value[kid], kid))
             else:
                 out.append(self.leaf[node])
+                seen += sizes.get(self.leaf[node], 0) if sizes else 0
         return out
 
 
@@ -127,10 +135,10 @@ def _search(keep: int):
         if points.num_rows and queries.num_rows:
             x, ids = _matrix(points.column("embedding").combine_chunks()), points.column("ids").to_pylist()
             names = queries.column("qid").to_pylist()
-            q = queries.column("embedding").combine_chunks()
+            q, bars = queries.column("embedding").combine_chunks(), queries.column("bar").to_pylist()
             for at in range(0, len(names), 1024):
-                for name, best in zip(names[at : at + 1024], _best(_matrix(q.slice(at, 1024)), x, ids, keep)):
-                    out += [(name, s, i) for s, i in best]
+                for name, bar, best in zip(names[at : at + 1024], bars[at : at + 1024], _best(_matrix(q.slice(at, 1024)), x, ids, keep)):
+                    out += [(name, s, i) for s, i in best if s >= bar]
         return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.int64())], names=["qid", "score", "vec_id"])
 
     return run
@@ -175,7 +183,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL, l
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = groups.select("embedding").orderBy(F.xxhash64("pid"), "pid").limit(SAMPLE).toPandas()["embedding"]
     sample = np.array([np.asarray(v, np.float64) for v in sample])
-    wanted = max(1, min(leaves, n // LEAF_POINTS))
+    wanted = max(1, min(leaves, n // max(LEAF_POINTS, int(LEAF_ROOTS * n**0.5))))
     tree = MeansTree(sample, max(1, len(sample) // wanted))
 
     def to_leaf(batches):
@@ -193,24 +201,43 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL, l
     queries = stored(asked.groupBy("embedding").agg(F.min("query_id").alias("qid")), "queries")
     visits = _calibrated(points, queries, tree, keep, recall)
 
-    def to_visits(batches):
-        for b in batches:
-            x, ids, embedding = _matrix(b.column("embedding")), b.column("qid").to_pylist(), b.column("embedding")
-            for start in range(0, len(ids), 256):
-                row, leaf, part = [], [], []
-                for i in range(start, min(start + 256, len(ids))):
-                    for at in tree.visit(x[i], visits):
-                        for p in range(parts.get(at, 0)):
-                            row.append(i)
-                            leaf.append(at)
-                            part.append(p)
-                take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("qid").take(take), embedding.take(take), pa.array(leaf, pa.int64()), pa.array(part, pa.int32())], names=["qid", "embedding", "leaf", "part"])
+    rank = 4 * keep
+
+    def _bars(x):
+        if len(sample) < rank or not len(x):
+            return np.full(len(x), -np.inf)
+        return np.concatenate([np.partition(x[i : i + 256] @ sample.T, len(sample) - rank, 1)[:, len(sample) - rank] for i in range(0, len(x), 256)])
+
+    def to_visits(barred):
+        def run(batches):
+            for b in batches:
+                x, ids, embedding = _matrix(b.column("embedding")), b.column("qid"), b.column("embedding")
+                bars = pa.array(_bars(x) if barred else np.full(len(x), -np.inf))
+                for start in range(0, len(ids), 256):
+                    row, leaf, part = [], [], []
+                    for i in range(start, min(start + 256, len(ids))):
+                        for at in tree.visit(x[i], visits, sizes, keep):
+                            for p in range(parts.get(at, 0)):
+                                row.append(i)
+                                leaf.append(at)
+                                part.append(p)
+                    take = pa.array(row, pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids.take(take), embedding.take(take), pa.array(leaf, pa.int64()), pa.array(part, pa.int32()), bars.take(take)], names=["qid", "embedding", "leaf", "part", "bar"])
+
+        return run
 
     table = spark.createDataFrame([(int(a), int(b)) for a, b in parts.items()], "leaf long, parts int")
     dealt = points.join(table, "leaf").withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int")).select("leaf", "part", "ids", "embedding")
-    visited = queries.mapInArrow(to_visits, f"qid long, embedding {kind}, leaf long, part int")
-    found = dealt.groupBy("leaf", "part").cogroup(visited.groupBy("leaf", "part")).applyInArrow(_search(keep), _FOUND)
+
+    def search(these, barred):
+        visited = these.mapInArrow(to_visits(barred), f"qid long, embedding {kind}, leaf long, part int, bar double")
+        return dealt.groupBy("leaf", "part").cogroup(visited.groupBy("leaf", "part")).applyInArrow(_search(keep), _FOUND)
+
+    found = stored(search(queries, True), "found")
+    few = queries.join(found.groupBy("qid").count(), "qid", "left").where(F.coalesce("count", F.lit(0)) < keep).select("qid", "embedding")
+    if few.limit(1).count():
+        few = stored(few, "few")
+        found = found.join(few.select("qid"), "qid", "left_anti").union(search(few, False))
     best = _top(found, keep).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("best"))
     named = asked.join(queries, "embedding").select("query_id", "qid").join(best, "qid")
     own = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
