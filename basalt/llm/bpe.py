@@ -32,6 +32,8 @@ SHORT = 32
 #: Chunks whose ids a worker remembers. Chunks met later are encoded for their slice only.
 REMEMBERED = 800_000
 NONE = np.int32(2**31 - 1)
+#: An empty part, or one with white space at an end, by RE2's syntax.
+ODD = r"^$|\A[\t-\r\x1c-\x20\x{85}\p{Z}]|[\t-\r\x1c-\x20\x{85}\p{Z}]\z"
 #: Letters under this are judged by str.isalpha alone; the pattern judges all others.
 LATIN = "\u0250"
 
@@ -154,25 +156,7 @@ class RankArrayBPE:
 
     def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks one after another, and each one's count; a chunk is pre-tokenised by itself."""
-        places: dict[str, int] = {}
-        index, pieces = [], []
-        place = places.setdefault
-        for c in chunks:
-            if (w := c[1:]).isalpha() and c[0] == " " and c < LATIN and max(w) < LATIN:
-                index.append(place(c, len(places)))
-                pieces.append(1)
-            elif (w := c[1:-1]).isalpha() and c[0] == " " and c[-1] in ".,;:!?" and max(w) < LATIN:
-                index.append(place(c[:-1], len(places)))
-                index.append(place(c[-1], len(places)))
-                pieces.append(2)
-            else:
-                found = self.pattern.findall(c)
-                index += [place(p, len(places)) for p in found]
-                pieces.append(len(found))
-        flat, counts = self.encode_words([p.encode() for p in places])
-        index, starts = np.array(index, np.int64), np.cumsum(counts) - counts
-        ends = np.concatenate([[0], np.cumsum(counts[index])])[np.concatenate([[0], np.cumsum(pieces, dtype=np.int64)])]
-        return flat[expand(starts[index], counts[index])], np.diff(ends)
+        return by_pieces(chunks, lambda pieces: self.encode_words([p.encode() for p in pieces]), self.pattern)
 
     def encode(self, text: str) -> list[int]:
         """Ids of one text, special tokens' strings included, as the library gives them without added tokens."""
@@ -196,6 +180,29 @@ class RankArrayBPE:
 
 
 
+def by_pieces(chunks: list[str], encode, pattern) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all chunks one after another, and each one's count, from the ids of their distinct pre-tokens."""
+    places: dict[str, int] = {}
+    index, pieces = [], []
+    place = places.setdefault
+    for c in chunks:
+        if (w := c[1:]).isalpha() and c[0] == " " and c < LATIN and max(w) < LATIN:
+            index.append(place(c, len(places)))
+            pieces.append(1)
+        elif (w := c[1:-1]).isalpha() and c[0] == " " and c[-1] in ".,;:!?" and max(w) < LATIN:
+            index.append(place(c[:-1], len(places)))
+            index.append(place(c[-1], len(places)))
+            pieces.append(2)
+        else:
+            found = pattern.findall(c)
+            index += [place(p, len(places)) for p in found]
+            pieces.append(len(found))
+    flat, counts = encode(list(places))
+    index, starts = np.array(index, np.int64), np.cumsum(counts) - counts
+    ends = np.concatenate([[0], np.cumsum(counts[index])])[np.concatenate([[0], np.cumsum(pieces, dtype=np.int64)])]
+    return flat[expand(starts[index], counts[index])], np.diff(ends)
+
+
 class ChunkGather:
     """Encodes texts by their distinct chunks: new chunks are encoded once, ids are gathered from a bounded memory.
 
@@ -203,8 +210,8 @@ class ChunkGather:
     place. Texts with any other space, or with a special token's string, are cut by a slower rule.
     """
 
-    def __init__(self, encode_chunks, special: dict[str, int]):
-        self.encode_chunks, self.special = encode_chunks, special
+    def __init__(self, encode_chunks, special: dict[str, int], limit: int | None = None):
+        self.encode_chunks, self.special, self.limit = encode_chunks, special, limit
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.forget()
 
@@ -232,7 +239,7 @@ class ChunkGather:
 
     def trim(self):
         """Forgets the newest chunks beyond the limit."""
-        if (over := len(self.known) - REMEMBERED) > 0:
+        if (over := len(self.known) - (self.limit or REMEMBERED)) > 0:
             for _ in range(over):
                 self.known.popitem()
             keep = 1 + max(self.known.values(), default=-1)
@@ -266,7 +273,7 @@ class ChunkGather:
         distinct = d.dictionary.to_pylist()
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes)])
-        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in distinct), bool, len(distinct))[codes]
+        odd = pc.match_substring_regex(d.dictionary, ODD).to_numpy(zero_copy_only=False)[codes]
         slow = np.add.reduceat(odd, offsets[:-1]) > 0 if len(sizes) else np.empty(0, bool)
         for s in self.special:
             slow |= pc.match_substring(batch, s).to_numpy(zero_copy_only=False)

@@ -14,18 +14,20 @@ table, so that any store that Spark writes to can hold them.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import ChunkGather
-from .text import slices, stored, texts
+from .text import expand, slices, stored, texts
 
 MAGIC = b"DAC1"
 BITS = 512
@@ -124,6 +126,9 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, DirectCodes]:
     return ids, starts, DirectCodes.from_bytes(memoryview(payload)[28 + 8 * (2 * docs + 1) :], count, levels)
 
 
+#: Chunks whose ids a worker remembers.
+REMEMBERED = 700_000
+
 _GATHER: dict[str, ChunkGather] = {}
 
 
@@ -137,12 +142,37 @@ def library_encoder(path: str) -> ChunkGather:
         tokenizer.no_truncation()
         special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
-        def encode(chunks: list[str]):
-            ids = [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum())), counts
+        width = np.zeros(tokenizer.get_vocab_size(), np.int64)
+        for token, i in tokenizer.get_vocab().items():
+            width[i] = len(token)  # a letter of the vocabulary stands for a byte
 
-        _GATHER[path] = ChunkGather(encode, special)
+        def ids_of(texts: list[str]) -> list[list[int]]:
+            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def encode(chunks: list[str]):
+            """Chunks that start at a lone space go to the library joined, and are told apart by their tokens' bytes."""
+            joins = np.array([len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() for c in chunks], bool)
+            counts = np.zeros(len(chunks), np.int64)
+            easy, rest = np.flatnonzero(joins), np.flatnonzero(~joins)
+            flat = [np.empty(0, np.uint32)]
+            for at in range(0, len(easy), 16384):
+                own = [chunks[i] for i in easy[at : at + 16384].tolist()]
+                lists = ids_of(["".join(own[k : k + 256]) for k in range(0, len(own), 256)])
+                ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
+                ends = np.cumsum(pc.binary_length(pa.array(own)).to_numpy(zero_copy_only=False), dtype=np.int64)
+                counts[easy[at : at + 16384]] = np.diff(np.searchsorted(np.cumsum(width[ids]), ends, "right"), prepend=0)
+                flat.append(ids)
+            lists = ids_of([chunks[i] for i in rest.tolist()])
+            counts[rest] = [len(x) for x in lists]
+            flat.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(counts[rest].sum())))
+            ids = np.concatenate(flat)
+            order = np.concatenate([easy, rest])
+            starts = np.cumsum(counts[order]) - counts[order]
+            back = np.empty(len(chunks), np.int64)
+            back[order] = starts
+            return ids[expand(back, counts)], counts
+
+        _GATHER[path] = ChunkGather(encode, special, REMEMBERED)
     return _GATHER[path]
 
 
