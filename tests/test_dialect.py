@@ -116,7 +116,7 @@ def test_json_functions(both):
     engine, _ = both
     q = """SELECT JSON_EXTRACT('{"a":{"b":[1,2.50,"x"]}}', '$.a.b[1]'), JSON_EXTRACT('[1,2,3]', '$[#-1]'), JSON_TYPE('{"a":1.5}', '$.a'), JSON_SET('{"a":1}', '$.b', 'q'), JSON_REMOVE('[1,2,3]', '$[1]'),
     JSON_PATCH('{"a":{"b":1,"c":2}}', '{"a":{"b":null}}'), JSON_ARRAY_INSERT('[1,3]', '$[1]', 2), JSON_VALID('{bad'), JSON_EXTRACT(NULL, '$'), JSON_KEYS('{"x":1}')"""
-    assert tuple(engine.query(q).first()) == ("2.50", "3", "real", '{"a":1,"b":"q"}', "[1,3]", '{"a":{"c":2}}', "[1,2,3]", 0, None, '["x"]')
+    assert tuple(engine.query(q).first()) == ("2.5", "3", "real", '{"a":1,"b":"q"}', "[1,3]", '{"a":{"c":2}}', "[1,2,3]", 0, None, '["x"]')
     rows = engine.query("SELECT key, value, type, fullkey, path FROM json_tree('{\"a\":1,\"b\":[2,{\"c\":null}]}')").collect()
     assert [r.fullkey for r in rows] == ["$", "$.a", "$.b", "$.b[0]", "$.b[1]", "$.b[1].c"] and rows[-1].type == "null"
     assert [tuple(r) for r in engine.query("SELECT t.id, j.value FROM t JOIN json_each('[1,2]') j ON j.value = t.id ORDER BY 1").collect()] == [(1, "1"), (2, "2")]
