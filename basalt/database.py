@@ -18,9 +18,17 @@ from .plans.parser import Node, Parser, SqlError, node, split_statements
 from .session import _NUMBER, Engine
 from .sources.catalog import ROWID, Column, ForeignKey, Index, State, Store, Table, Trigger, numbered, spark_type
 
+#: Rows of a statement for which row triggers run.
 TRIGGER_ROWS = 10_000
 
 
+def _number(text: str, to: str) -> str:
+    """Text for a numeric column; text that is no number is an error, since a column has one type."""
+    if to == "real":
+        return f"CAST({text} AS DOUBLE)"
+    return f"coalesce(try_cast({text} AS BIGINT), CAST(CAST({text} AS DOUBLE) AS BIGINT))"
+
+
 @dataclass
 class Result:
     """What a statement did: rows changed, the last new row id, rows of RETURNING or of a query."""
@@ -357,7 +365,7 @@ class Database(Engine):
                 if to == "text":
                     value = S.text_of((value, kind))
                 elif to in ("int", "real") and kind == "text":
-                    value = f"try_cast({value} AS {'BIGINT' if to == 'int' else 'DOUBLE'})"
+                    value = _number(value, to)
                 else:
                     value = f"CAST({value} AS {spark_type(c.declared).simpleString()})"
             else:
@@ -528,7 +536,7 @@ class Database(Engine):
             if kind_of(to) == "text":
                 value = S.text_of((value, kind))
             elif kind_of(to) in ("int", "real") and kind == "text":
-                value = f"try_cast({value} AS {to.simpleString()})"
+                value = _number(value, kind_of(to))
             else:
                 value = f"CAST({value} AS {to.simpleString()})"
             values[c.name] = plain(value)

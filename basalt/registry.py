@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .database import Database
 from .plans.catalogue import QUERIES as CATALOGUE
+from .plans.scripts import SCRIPTS
 from .session import Engine
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -88,3 +90,17 @@ SQL |= {
     "x06_term_stats": f"SELECT term, COUNT(DISTINCT doc_id) AS df, COUNT(*) AS cf FROM ({_TERMS}) GROUP BY term HAVING COUNT(*) >= 50",
     "x07_phrase": "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])all[^a-z0-9]+rights[^a-z0-9]+reserved($|[^a-z0-9])')",
 }
+
+
+def _script(script: str, final: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = Database(spark)
+        db.load(sf_dir, *[t for t in TABLES if re.search(rf"\bFROM {t}\b|\bUSING {t}\b", script)])
+        db.execute(script)
+        return db.query(final)
+
+    return run
+
+
+QUERIES |= {name: _script(script, final) for name, script, final, _ in SCRIPTS}
+SQL |= {name: sql for name, _, _, sql in SCRIPTS}
