@@ -1,15 +1,18 @@
 """N-gram Jaccard join over a count-vector R-tree, and the groups its links make.
 
-A document's set holds its distinct word n-grams (64-bit hashes). Tokens are hashed into
-`GROUPS` groups; a set's counts per group are its point. Since overlap cannot pass the summed
+A document's set holds its distinct word n-grams (64-bit hashes). Tokens are hashed into groups, a
+power of two that follows the set's size; a set's counts per group are its point, and halves of a
+point folded onto each other give the point of half as many groups. Since overlap cannot pass the summed
 coordinate minima, an R-tree over points (boxes of coordinate maxima) yields the pairs that may
 reach the threshold, and the surviving pairs are verified on the whole sets.
 
 At scale one tree over all points would compare everything of like size, so the points are first
 dealt into blocks, none of which loses a pair: under any fixed order of tokens, two sets with
-J >= t share a token among the first n - ceil(t n) + 1 of each. The order puts tokens that many
-documents share last (a fixed-size bitmap, refined over all documents), so frequent passages do
-not make large blocks. Equal sets are one node. Within blocks, first one surviving partner per
+J >= t share a token among the first n - ceil(t n) + 1 of each. The order is by hash, but tokens
+that several documents share come last, so shared passages do not make blocks. Sharing is counted
+over all documents for the tokens of a fixed share of the hash range, into a bitmap of fixed size;
+a counted token without its bit stands in one document only and names no block. Equal sets are one
+node. Within blocks, first one surviving partner per
 node is verified; then all surviving pairs whose ends are still in different groups. A group of
 many near copies thus costs a star, not all its pairs, and no link between groups is lost.
 """
@@ -26,11 +29,17 @@ from pyspark.sql.window import Window
 from .graph import components
 from .text import coded, slices, split_words, stored, texts
 
-GROUPS = 32
-#: Nodes under one token from which the token counts as frequent and goes to the end of the order.
-FREQUENT = 24
-#: Bits of the frequent-token bitmap: its size never depends on the data; a false hit only reorders.
-BITMAP_BITS = 22
+#: Tokens that a group holds on average, and the fewest groups.
+PER_GROUP = 2
+LEAST_GROUPS = 16
+#: A count of 255 or more is stored as 255 and read as this: the bound only grows.
+FULL = 65535
+#: Sixteenths of the hash range whose tokens are counted over all documents.
+COUNTED = 3
+#: Bits of the shared-token bitmap: its size never depends on the data; a false hit only reorders.
+BITMAP_BITS = 25
+#: Bits of the bitmaps of wanted doc_ids, by which texts are left out before they are shuffled.
+ID_BITS = 22
 #: Rows compared with one centre in a task.
 CENTRE_ROWS = 512
 #: Points of a block that one task indexes at once; larger blocks are dealt out as pairs of parts.
@@ -71,24 +80,54 @@ def shingle_sets(array: pa.Array, n: int) -> list[np.ndarray]:
     return out
 
 
-def _described(n: int, percent: int, groups: int, frequent: bytes):
-    """Arrow mapper: doc_id, text -> doc_id, n, h1, h2, point, prefix."""
+def _groups(n: int) -> int:
+    return max(LEAST_GROUPS, 1 << (max(n - 1, 0) // PER_GROUP).bit_length())
+
+
+def _counted_tokens(n: int):
+    """Arrow mapper: text -> the tokens of the counted range, each once for each text."""
+    limit = np.uint64(COUNTED << 60)
 
     def run(batches):
-        late = np.unpackbits(np.frombuffer(frequent, np.uint8)) if frequent else None
+        for batch in slices(batches):
+            every = [s[: int(np.searchsorted(s, limit))] for s in shingle_sets(texts(batch), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(every).view(np.int64))], names=["t"])
+
+    return run
+
+
+def _token_bucket(s: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    # within the counted range the upper bits say little: the bucket comes from the lower ones
+    return (s & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+
+
+def _described(n: int, percent: int, shared: bytes):
+    """Arrow mapper: doc_id, text -> doc_id, n, h1, h2, point, prefix. `shared`: the bitmap of counted tokens that texts share.
+
+    The prefix leaves out tokens that stand in one text only; without any other the point is empty too.
+    """
+    limit = np.uint64(COUNTED << 60)
+
+    def run(batches):
+        bits = np.frombuffer(shared, np.uint8)
         for batch in slices(batches):
             size, h1, h2, points, prefixes = [], [], [], [], []
             for s in shingle_sets(texts(batch), n):
                 size.append(len(s))
-                digest = xxhash.xxh3_128_digest(s.tobytes())
-                a, b = np.frombuffer(digest, np.int64)
+                a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 h1.append(a)
                 h2.append(b)
-                points.append(np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups).astype("<u4").tobytes())
                 keep = len(s) - (len(s) * percent + 99) // 100 + 1 if len(s) else 0
-                if late is not None and keep:
-                    s = s[np.argsort(late[(s >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)], kind="stable")]
-                prefixes.append(s[:keep].view(np.int64))
+                counted = int(np.searchsorted(s, limit))
+                at = _token_bucket(s[:counted], bits)
+                late = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                alone = int(counted - late.sum())
+                # in order: counted tokens of one text, uncounted ones by hash, shared ones by hash
+                prefix = np.concatenate([s[counted:], s[:counted][late]])[: max(0, keep - alone)]
+                prefixes.append(prefix.view(np.int64))
+                groups = _groups(len(s))
+                full = np.bincount((s >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups) if len(prefix) else np.empty(0)
+                points.append(np.minimum(full, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(points, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "h1", "h2", "point", "prefix"],
@@ -97,6 +136,55 @@ def _described(n: int, percent: int, groups: int, frequent: bytes):
     return run
 
 
+def _bitmap(numbers: DataFrame, bits: int) -> bytes:
+    """A packed bitmap of the numbers (column k, below 2**bits), united on the executors slice by slice."""
+    width = min(1 << bits, 1 << 19)
+
+    def own(batches):
+        seen = np.zeros(1 << bits, bool)
+        for b in batches:
+            seen[b.column(0).to_numpy(zero_copy_only=False)] = True
+        parts = [(i, np.packbits(seen[i * width : (i + 1) * width]).tobytes()) for i in range((1 << bits) // width) if seen[i * width : (i + 1) * width].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["slice", "bits"])
+
+    def unite(table: pa.Table) -> pa.Table:
+        out = np.zeros(width // 8, np.uint8)
+        for x in table.column("bits"):
+            out |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table([table.column("slice").slice(0, 1), pa.array([out.tobytes()], pa.binary())], names=["slice", "bits"])
+
+    rows = numbers.mapInArrow(own, "slice int, bits binary").groupBy("slice").applyInArrow(unite, "slice int, bits binary").collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows:  # the bitmap itself: 2**bits / 8 bytes at most
+        out[r.slice * (width // 8) : (r.slice + 1) * (width // 8)] = np.frombuffer(r.bits, np.uint8)
+    return out.tobytes()
+
+
+def _id_bucket(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (_mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+
+
+def _among(batches, column: str, bitmap: bytes):
+    """The rows whose id is in the bitmap (or shares a bit with one that is); an empty bitmap lets all pass."""
+    bits = np.frombuffer(bitmap, np.uint8)
+    for batch in batches:
+        if bitmap and batch.num_rows:
+            at = _id_bucket(batch.column(column).fill_null(0).to_numpy(zero_copy_only=False))
+            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+        yield batch
+
+
+def _id_bitmap(ids: DataFrame) -> bytes:
+    """A bitmap of fixed size over the single column of ids."""
+
+    def buckets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_id_bucket(b.column(0).to_numpy(zero_copy_only=False)))], names=["k"])
+
+    return _bitmap(ids.mapInArrow(buckets, "k long"), ID_BITS)
+
+
 _DESCRIBED = "doc_id long, n long, h1 long, h2 long, point binary, prefix array<long>"
 
 
@@ -119,7 +207,7 @@ class CountTree:
         """Positions of all points whose summed minima with `point` allow the threshold."""
 
         def may(tops, least):
-            return (100 + percent) * np.minimum(tops, point).sum(1) >= percent * (size + least)
+            return (100 + percent) * _overlap(tops, point) >= percent * (size + least)
 
         live = np.flatnonzero(may(*self.levels[-1]))
         for depth in range(len(self.levels) - 1, -1, -1):
@@ -133,7 +221,23 @@ class CountTree:
         return self.order[live]
 
 
-def _block_pairs(percent: int, groups: int, star: bool):
+def _unpacked(points: list[bytes]) -> np.ndarray:
+    out = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1).astype(np.uint16)
+    out[out == 255] = FULL
+    return out
+
+
+def _folded(points: np.ndarray) -> np.ndarray:
+    half = points.shape[1] // 2
+    return np.minimum(points[:, :half].astype(np.uint32) + points[:, half:], FULL).astype(np.uint16)
+
+
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima along the last axis."""
+    return np.minimum(a, b).sum(-1, dtype=np.int64)
+
+
+def _block_pairs(percent: int, star: bool):
     """Arrow mapper over rows (key, side, id, n, point, label) sorted by key: surviving pairs a < b, each once per task.
 
     Side 0 rows are indexed; side 1 rows only query (for blocks dealt out as pairs of parts). With
@@ -141,23 +245,41 @@ def _block_pairs(percent: int, groups: int, star: bool):
     """
 
     def one(ids, sides, sizes, points, labels, seen):
+        # sets that may link differ by less than a factor of two: their numbers of groups are equal or neighbours
+        widths = np.fromiter(map(len, points), np.int64, len(points))
+        best: dict[int, int] = {}
+        for width in np.unique(widths).tolist():
+            at, above = np.flatnonzero(widths == width), np.flatnonzero(widths == 2 * width)
+            x = _unpacked([points[i] for i in at])
+            if len(above):
+                x, at = np.concatenate([x, _folded(_unpacked([points[i] for i in above]))]), np.concatenate([at, above])
+            if len(at) > 1:
+                within(ids[at], sides[at], sizes[at], x, labels[at], seen, best, len(at) - len(above))
+        for me, p in best.items():
+            seen.add((min(me, p), max(me, p)))
+
+    def within(ids, sides, sizes, points, labels, seen, best, lower):
+        """`lower`: how many points, from the first, have this width themselves; pairs of two wider ones come later."""
         own = np.flatnonzero(sides == 0)
-        if len(own) == 0 or len(ids) < 2:
+        if not len(own):
             return
         tree = CountTree(sizes[own], points[own]) if len(own) > LEAF else None
         if tree is None:
-            live = (100 + percent) * np.minimum(points[:, None, :], points[None, own, :]).sum(2, dtype=np.int64) >= percent * (sizes[:, None] + sizes[None, own])
+            live = (100 + percent) * _overlap(points[:, None, :], points[None, own, :]) >= percent * (sizes[:, None] + sizes[None, own])
         for i in range(len(ids)):
             found = own[np.flatnonzero(live[i])] if tree is None else own[tree.search(sizes[i], points[i], percent)]
-            found = found[labels[found] != labels[i]]
-            partner = ids[found]
-            if sides[i] == 0 or star:
-                partner = partner[partner < ids[i]]
-            if star and len(partner):
-                partner = [partner.min()]
-            me = int(ids[i])
-            for p in partner:
-                seen.add((int(p), me) if p < me else (me, int(p)))
+            found = found[(labels[found] != labels[i]) & (100 * np.minimum(sizes[found], sizes[i]) >= percent * np.maximum(sizes[found], sizes[i]))]
+            if i >= lower:
+                found = found[found < lower]
+            me, partner = int(ids[i]), ids[found]
+            if star:
+                partner = partner[partner < me]
+                if len(partner):
+                    best[me] = min(best.get(me, me), int(partner.min()))
+            else:
+                for p in partner[partner < me] if sides[i] == 0 else partner:
+                    if p != me:
+                        seen.add((min(me, int(p)), max(me, int(p))))
 
     def flush(seen):
         pairs = np.array(sorted(seen), np.int64).reshape(-1, 2)
@@ -173,7 +295,7 @@ def _block_pairs(percent: int, groups: int, star: bool):
             stop = len(keys) if last else (cuts[-1] if len(cuts) else 0)
             if stop:
                 ids, sides, sizes, labels = (t.column(c).to_numpy()[:stop] for c in ("id", "side", "n", "label"))
-                points = np.frombuffer(b"".join(t.column("point").slice(0, stop).to_pylist()), "<u4").reshape(stop, groups).astype(np.int64)
+                points = t.column("point").slice(0, stop).to_pylist()
                 edges = [0, *cuts[cuts < stop].tolist(), stop]
                 for a, b in zip(edges[:-1], edges[1:]):
                     if b - a > 1:
@@ -230,33 +352,36 @@ def _verified(n: int, percent: int):
 def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that verification on whole texts keeps. A centre with many partners is dealt over several tasks."""
     pairs = stored(pairs.distinct(), "pairs")
+    only = _id_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    docs = docs.mapInArrow(lambda batches: _among(batches, "doc_id", only), "doc_id long, text string")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CENTRE_ROWS).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
-    partner = dealt.join(docs.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
-    centre = dealt.select("a", "salt").distinct().join(docs.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    rows = partner.union(centre).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    wanted = dealt.select("a", "salt", "b", F.col("b").alias("doc_id")).union(dealt.select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id")).distinct())
+    rows = wanted.join(docs, "doc_id").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
     return stored(rows.mapInArrow(_verified(n, percent), "a long, b long").distinct(), "links")
 
 
-def _bucket(token) -> F.Column:
-    return F.shiftrightunsigned(token, 64 - BITMAP_BITS).cast("int")
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(token, id, m): blocks of the nodes that share a prefix token, with their number.
 
+    Tokens that the same nodes share make one block: its name is a digest of its members. Should two
+    sets of members have one digest, their blocks unite and no pair is lost.
+    """
+    w = Window.partitionBy("token")
+    posts = nodes.where(F.size("prefix") > 0).select("id", F.explode("prefix").alias("token")).withColumn("m", F.count("*").over(w)).withColumn("members", F.bit_xor(F.xxhash64("id")).over(w))
+    return stored(posts.where("m > 1").select(F.xxhash64("members", "m").alias("token"), "id", "m").distinct(), "shared")
 
-def _frequent_buckets(nodes: DataFrame) -> DataFrame:
-    """(k): buckets of the tokens under which more than FREQUENT nodes stand; at most 2**BITMAP_BITS of them."""
-    many = nodes.select(F.explode("prefix").alias("t")).groupBy("t").count().where(F.col("count") > FREQUENT)
-    return many.select(_bucket(F.col("t")).alias("k")).distinct()
 
+def _candidates(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, that survive the trees of the blocks; may repeat. Blocks over BLOCK_POINTS are dealt out as pairs of parts.
 
-def _blocks(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (key, side, id, n, point, label) of all tokens that two nodes share; blocks over BLOCK_POINTS as pairs of parts."""
-    posts = nodes.select("id", F.explode("prefix").alias("token"))
-    shared = posts.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1")
+    Without labels each point yields its smallest partner; with labels, all partners of another label.
+    """
     point = nodes.select("id", "n", "point")
     if labels is not None:
         point = point.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        shared = shared.join(point.select("id", "label"), "id")
         w = Window.partitionBy("token")
+        shared = shared.join(point.select("id", "label").distinct(), "id")
         shared = shared.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi").select("token", "id", "m")
     else:
         point = point.withColumn("label", F.col("id"))
@@ -264,11 +389,11 @@ def _blocks(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
     mine = F.pmod(F.xxhash64("id"), parts).cast("int")
     others = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, mine).alias("x"), F.greatest(p, mine).alias("y")))
     rows = shared.withColumn("cell", F.explode(others)).withColumn("side", F.when(mine == F.col("cell.x"), 0).otherwise(1))
-    key = F.xxhash64("token", "cell.x", "cell.y")
-    return rows.select(key.alias("key"), "side", "id").join(point.distinct(), "id").repartition("key").sortWithinPartitions("key")
+    rows = rows.select(F.xxhash64("token", "cell.x", "cell.y").alias("key"), "side", "id").join(point, "id")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_block_pairs(percent, labels is None), "a long, b long")
 
 
-def jaccard_groups(documents: DataFrame, n: int = 3, percent: int = 90, groups: int = GROUPS) -> DataFrame:
+def jaccard_groups(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of `documents`: doc_id, n_shingles, component_id (smallest doc_id reached by links).
 
     Null and blank texts have an empty set (n_shingles 0) and link with nothing. Rows that repeat a
@@ -277,37 +402,22 @@ def jaccard_groups(documents: DataFrame, n: int = 3, percent: int = 90, groups:
     An empty table gives an empty table.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = stored(docs.mapInArrow(_described(n, percent, groups, b""), _DESCRIBED), "sets")
+    many = docs.mapInArrow(_counted_tokens(n), "t long").groupBy("t").count().where("count > 1")
+    shared_bits = _bitmap(many.select(F.col("t").bitwiseAND((1 << BITMAP_BITS) - 1).alias("k")), BITMAP_BITS)
+    told = stored(docs.mapInArrow(_described(n, percent, shared_bits), _DESCRIBED), "sets")
     named = told.where("doc_id is not null and n > 0")
     nodes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "point", "prefix")))
     nodes = stored(nodes, "nodes")
-
-    late = np.zeros(1 << BITMAP_BITS, np.uint8)
-    for _ in range(4):
-        buckets = stored(_frequent_buckets(nodes), "frequent")
-        found = np.fromiter((r[0] for r in buckets.toLocalIterator()), np.int64)
-        if late[found].all():
-            break
-        late[found] = 1
-        touched = nodes.select("id", F.explode("prefix").alias("t")).select("id", _bucket(F.col("t")).alias("k")).join(buckets, "k", "left_semi").select(F.col("id").alias("doc_id")).distinct()
-        anew = docs.join(touched, "doc_id", "left_semi").mapInArrow(_described(n, percent, groups, np.packbits(late).tobytes()), _DESCRIBED)
-        anew = anew.groupBy("h1", "h2").agg(F.first("prefix").alias("other"))
-        nodes = stored(nodes.join(anew, ["h1", "h2"], "left").withColumn("prefix", F.coalesce("other", "prefix")).drop("other"), "nodes")
-
     reps = nodes.select("h1", "h2", F.col("id").alias("rep"))
     rows = stored(told.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(reps, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "rows")
     repeated = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     same = stored(rows.join(repeated, "doc_id").select("a", F.col("rep").alias("b")), "same")
 
-    links = _linked(docs, nodes_pairs(nodes, None, percent, groups, True), n, percent).union(same)
+    shared = _shared(nodes)
+    links = _linked(docs, _candidates(shared, nodes, None, percent), n, percent).union(same)
     labels = components(links)
-    more = _linked(docs, nodes_pairs(nodes, labels, percent, groups, False), n, percent)
+    more = _linked(docs, _candidates(shared, nodes, labels, percent), n, percent)
     if more.limit(1).count():
         labels = components(links.union(more))
     out = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).alias("component_id"))
-
-
-def nodes_pairs(nodes: DataFrame, labels: DataFrame | None, percent: int, groups: int, star: bool) -> DataFrame:
-    """Pairs (a, b), a < b, that survive the trees of the blocks; may repeat."""
-    return _blocks(nodes, labels).mapInArrow(_block_pairs(percent, groups, star), "a long, b long")
