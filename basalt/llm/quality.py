@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .text import bounded_sample, coded, hashed_ngrams, segment_sums, slices, split_words, texts
 
 #: Bounds of the labelled sample that training sees; the driver holds it.
-SAMPLE_ROWS = 6000
-SAMPLE_CHARS = 16_000_000
+SAMPLE_ROWS = 4000
+SAMPLE_CHARS = 6_000_000
 BUCKETS = 1 << 17
 SIZES = (3, 4)
 DIMENSIONS = 8
@@ -47,10 +47,10 @@ def _bags(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         every = np.concatenate([features[of[k] : of[k + 1]] for k in c.tolist()]) if len(c) else np.empty(0, np.int64)
         u, inverse = np.unique(every, return_inverse=True)
         share = np.bincount(inverse, np.repeat(n, sizes), len(u)) if len(u) else np.empty(0)
-        buckets.append(u)
-        shares.append(share / max(share.sum(), 1))
+        buckets.append(u.astype(np.int32))
+        shares.append((share / max(share.sum(), 1)).astype(np.float32))
         ends.append(ends[-1] + len(u))
-    return np.concatenate(buckets), np.concatenate(shares).astype(np.float32), np.array(ends)
+    return np.concatenate(buckets), np.concatenate(shares), np.array(ends)
 
 
 class SubwordClassifier:
@@ -100,9 +100,13 @@ def score_texts(array: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-(np.divide(total, n, out=np.zeros_like(total), where=n > 0) + bias)))
 
 
-def fit_quality(labelled: DataFrame, label: str = "quality") -> tuple[np.ndarray, float]:
-    """Fits on a bounded sample of rows (doc_id, text, label); null labels and texts are left out."""
-    rows = bounded_sample(labelled.where(F.col(label).isin(0, 1)).select("doc_id", "text", label), SAMPLE_ROWS, SAMPLE_CHARS)
+def fit_quality(documents: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, float]:
+    """Fits on a bounded sample of labelled documents (doc_id, text; doc_id, label).
+
+    Labels other than 0 and 1, null ids and null texts are left out; a document with several label rows counts with each.
+    """
+    told = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), label)
+    rows = bounded_sample(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), SAMPLE_ROWS, SAMPLE_CHARS, members=told)
     return SubwordClassifier().fit(pa.array([r.text for r in rows], pa.string()), np.array([r[label] for r in rows], np.int64)).table()
 
 

@@ -25,8 +25,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = fit_quality(docs.where(~held_out).join(labels, "doc_id"))
+    model = fit_quality(docs.where(~held_out), _table(spark, sf_dir, "labels"))
     return quality_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
@@ -110,4 +109,23 @@ QUERIES = {
     f.__name__: f
     for f in (op1_quality_classifier, op2_language_id, op3_ann_tree, op4_bpe_codec, op5_token_files, op6_pii, op7_ngram_jaccard_join, op8_decontamination, op9_chat_template, op10_secret_scan)
 }
-SQL: dict[str, str] = {}
+
+_JACCARD = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [array_to_string(w[i:i+2], chr(1)) FOR i IN range(1, len(w) - 1)] WHEN len(w) > 0 THEN [array_to_string(w, chr(1))] ELSE [] END) AS g FROM w),
+n AS (SELECT d.doc_id, COUNT(g) AS n FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, COUNT(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 90 * (nx.n + ny.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM reach r JOIN e ON e.x = r.b)
+SELECT n.doc_id, n.n AS n_shingles, MIN(r.b) AS component_id FROM n JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n"""
+
+# roles are plain lower-case words in this table, so a mark is as long as its role
+_CHAT = r"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+x AS (SELECT *, 14 + length(role) + length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '</turn>', ''))) // 7
+  + coalesce(list_sum([length(h) - 2 FOR h IN regexp_extract_all(text, '#{3,}')]), 0) AS chars FROM r)
+SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+coalesce(SUM(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+SUM(chars)::BIGINT AS formatted_chars FROM x GROUP BY conv_id"""
+
+#: The others rest on learned models, tokenizers or added spans; tests hold them against brute force or libraries.
+SQL: dict[str, str] = {"op7_ngram_jaccard_join": _JACCARD, "op9_chat_template": _CHAT}

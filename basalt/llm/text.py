@@ -139,9 +139,11 @@ def hashed_ngrams(words: list[str], sizes: tuple[int, ...], buckets: int, whole:
     return flat, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(words)))])
 
 
-def bounded_sample(rows: DataFrame, most_rows: int, most_chars: int, per: str | None = None) -> list:
+def bounded_sample(rows: DataFrame, most_rows: int, most_chars: int, per: str | None = None, members: DataFrame | None = None) -> list:
     """At most `most_rows` rows (for each value of `per`) of (doc_id, text, ...) and `most_chars` characters in all.
 
+    `members`, a table with doc_id, restricts and widens the rows; only ids and lengths meet it before the choice.
+
     The choice follows the hash of doc_id alone, so it does not depend on the layout of the input.
     """
     import hashlib
@@ -155,7 +157,9 @@ def bounded_sample(rows: DataFrame, most_rows: int, most_chars: int, per: str |
         rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("_nth") <= most_rows)
         sizes = rows.select("doc_id", F.length("text").alias("n"), "_nth").orderBy("_nth", *order).limit(most_rows * 256).collect()
     else:
-        sizes = rows.select("doc_id", F.length("text").alias("n")).orderBy(*order).limit(most_rows).collect()
+        sizes = rows.select("doc_id", F.length("text").alias("n"))
+        sizes = sizes if members is None else sizes.join(members.select("doc_id"), "doc_id", "left_semi")
+        sizes = sizes.orderBy(*order).limit(most_rows).collect()
     ids, left = set(), most_chars
     for r in sizes:
         if r.n <= left:
@@ -165,5 +169,6 @@ def bounded_sample(rows: DataFrame, most_rows: int, most_chars: int, per: str |
         return []
     spark = rows.sparkSession
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in sorted(x for x in ids if x is not None)], "doc_id long"))
-    out = rows.join(chosen, "doc_id").collect()
+    out = rows.join(chosen, "doc_id")
+    out = (out if members is None else out.join(F.broadcast(members.join(chosen, "doc_id")), "doc_id")).collect()
     return sorted(out, key=lambda r: (r.doc_id, hashlib.sha1((r.text or "").encode()).digest()))
