@@ -30,7 +30,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Bytes up to which a word goes through the rank array; longer ones through the heap.
 SHORT = 32
 #: Chunks whose ids a worker remembers. Chunks met later are encoded for their slice only.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 NONE = np.int32(2**31 - 1)
 #: An empty part, or one with white space at an end, by RE2's syntax.
 ODD = r"^$|\A[\t-\r\x1c-\x20\x{85}\p{Z}]|[\t-\r\x1c-\x20\x{85}\p{Z}]\z"
