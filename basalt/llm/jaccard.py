@@ -34,8 +34,8 @@ PER_GROUP = 2
 LEAST_GROUPS = 16
 #: A count of 255 or more is stored as 255 and read as this: the bound only grows.
 FULL = 65535
-#: Sixteenths of the hash range whose tokens are counted over all documents.
-COUNTED = 3
+#: The counted share of the hash range, as a multiple of a prefix's share of a set.
+COUNTED = 1.75
 #: Bits of the shared-token bitmap: its size never depends on the data; a false hit only reorders.
 BITMAP_BITS = 25
 #: Bits of the bitmaps of wanted doc_ids, by which texts are left out before they are shuffled.
@@ -84,9 +84,14 @@ def _groups(n: int) -> int:
     return max(LEAST_GROUPS, 1 << (max(n - 1, 0) // PER_GROUP).bit_length())
 
 
-def _counted_tokens(n: int):
+def _limit(percent: int) -> np.uint64:
+    """The end of the hash range whose tokens are counted over all documents, in sixteenths of the whole."""
+    return np.uint64(min(15, int(np.ceil(16 * COUNTED * (100 - percent) / 100))) << 60)
+
+
+def _counted_tokens(n: int, percent: int):
     """Arrow mapper: text -> the tokens of the counted range, each once for each text."""
-    limit = np.uint64(COUNTED << 60)
+    limit = _limit(percent)
 
     def run(batches):
         for batch in slices(batches):
@@ -106,7 +111,7 @@ def _described(n: int, percent: int, shared: bytes):
 
     The prefix leaves out tokens that stand in one text only; without any other the point is empty too.
     """
-    limit = np.uint64(COUNTED << 60)
+    limit = _limit(percent)
 
     def run(batches):
         bits = np.frombuffer(shared, np.uint8)
@@ -402,7 +407,7 @@ def jaccard_groups(documents: DataFrame, n: int = 3, percent: int = 90) -> DataF
     An empty table gives an empty table.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    many = docs.mapInArrow(_counted_tokens(n), "t long").groupBy("t").count().where("count > 1")
+    many = docs.mapInArrow(_counted_tokens(n, percent), "t long").groupBy("t").count().where("count > 1")
     shared_bits = _bitmap(many.select(F.col("t").bitwiseAND((1 << BITMAP_BITS) - 1).alias("k")), BITMAP_BITS)
     told = stored(docs.mapInArrow(_described(n, percent, shared_bits), _DESCRIBED), "sets")
     named = told.where("doc_id is not null and n > 0")
