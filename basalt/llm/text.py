@@ -154,8 +154,9 @@ def bounded_sample(rows: DataFrame, most_rows: int, most_chars: int, per: str |
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     rows = rows.where("text is not null")
     if per:
-        rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("_nth") <= most_rows)
-        sizes = rows.select("doc_id", F.length("text").alias("n"), "_nth").orderBy("_nth", *order).limit(most_rows * 256).collect()
+        lengths = rows.select("doc_id", per, F.length("text").alias("n"))
+        lengths = lengths.withColumn("_nth", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("_nth") <= most_rows)
+        sizes = lengths.orderBy("_nth", *order).limit(most_rows * 256).collect()
     else:
         sizes = rows.select("doc_id", F.length("text").alias("n"))
         sizes = sizes if members is None else sizes.join(members.select("doc_id"), "doc_id", "left_semi")
