@@ -4,7 +4,7 @@ Texts become token sequences in which numbers, names and units are typed placeho
 question with other numbers or names has the same template. Windows of the items' templates are
 hash-joined with the documents' windows. Windows that match along one alignment of a document and
 an item must fill the placeholders consistently: one item value stands for one document value
-throughout, and the other way round. An alignment that covers enough of the item is a hit.
+throughout, and the other way round; windows that do not are left out. An alignment that covers enough of the item is a hit.
 
 A fixed-size bitmap of the items' window hashes lets documents emit only windows that may match;
 its size never depends on the data, and a false hit falls in the join.
@@ -86,9 +86,9 @@ class Templates:
         return owner[at], at - self.offsets[owner[at]], h[at]
 
     def slots(self, text: int, position: int, size: int) -> list[str]:
-        """The placeholders' types and values in a window, in order."""
+        """The placeholder's type and value of each token in a window, in order; empty for a literal."""
         start = self.offsets[text] + position
-        return [f"{self.kind[i]}{self.values[self.codes[i]]}" for i in range(start, start + size) if self.kind[i]]
+        return [f"{self.kind[i]}{self.values[self.codes[i]]}" if self.kind[i] else "" for i in range(start, start + size)]
 
 
 _WINDOWS = "h long, id long, key long, at int, size int, tokens int, slots array<string>"
@@ -108,12 +108,12 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
 def _item_windows(batches):
     for batch in slices(batches):
         t = Templates(texts(batch))
-        ids, rows = batch.column("id").to_pylist(), []
+        ids, keys, rows = batch.column("id").to_pylist(), batch.column("key").to_pylist(), []
         lengths = np.diff(t.offsets)
         for size in {min(WINDOW, int(n)) for n in lengths if n >= LITERALS}:
             owner, at, h = t.windows(size)
             own = np.minimum(lengths[owner], WINDOW) == size
-            rows += _emitted(t, size, (owner[own], at[own], h[own]), ids, [0] * len(ids))
+            rows += _emitted(t, size, (owner[own], at[own], h[own]), ids, keys)
         yield _record(rows)
 
 
@@ -133,18 +133,104 @@ def _document_windows(sizes: list[int], bitmap: bytes):
     return run
 
 
+def _consistent(windows: list[tuple]) -> list[tuple]:
+    """The windows (item_at, at, item_slots, slots) of an alignment that fill the placeholders consistently.
+
+    Of fills that exclude each other (one item value with two document values, or the other way
+    round) the one at most places of the item stays, a verbatim one in a tie, otherwise none.
+    Windows with another fill go; verbatim windows always stay.
+    """
+    places: dict[tuple[str, str], set[int]] = {}
+    for item_at, _, mine, its in windows:
+        for k, fill in enumerate(zip(mine, its)):
+            if fill[0]:
+                places.setdefault(fill, set()).add(item_at + k)
+    rank = {f: (len(p), f[0] == f[1]) for f, p in places.items()}
+    rivals: tuple[dict, dict] = ({}, {})
+    for fill in rank:
+        for side in (0, 1):
+            rivals[side].setdefault(fill[side], []).append(fill)
+    stay = {f for f in rank if all(r == f or rank[r] < rank[f] for side in (0, 1) for r in rivals[side][f[side]])}
+    return [w for w in windows if w[2] == w[3] or all(f in stay for f in zip(w[2], w[3]) if f[0])]
+
+
+def _covered(windows: list[tuple]) -> int:
+    return len({item_at + k for item_at, _, mine, _ in windows for k in range(len(mine))})
+
+
+def _best(windows: list[tuple], tokens: int) -> tuple[float, bool]:
+    """(coverage, whether verbatim windows alone reach it) of the best alignment."""
+    shifts: dict[int, list[tuple]] = {}
+    for w in windows:
+        shifts.setdefault(w[1] - w[0], []).append(w)
+    best = (0.0, True)
+    for line in shifts.values():
+        line = _consistent(line)
+        places = _covered(line)
+        best = max(best, (places / tokens, _covered([w for w in line if w[2] == w[3]]) == places))
+    return best
+
+
+_PAIRED = "doc_id long, key long, item_id long, coverage double, same boolean"
+
+
+def _aligned(covered: float):
+    """Arrow mapper over rows (doc_id, key, item_id, item_key, tokens, item_at, at, item_slots, slots), sorted by the first four and `at`.
+
+    A document's windows of an item are taken in stretches of twice the length that an alignment
+    may have, each half of which overlaps the next: memory follows the item, not the document.
+    """
+    names = ("doc_id", "key", "item_id", "item_key", "tokens", "item_at", "at", "item_slots", "slots")
+
+    def run(batches):
+        now, held, best, out = None, [], (0.0, True), []
+
+        def record():
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "key", "item_id", "coverage", "same"])
+
+        def close():
+            found = max(best, _best(held, now[4])) if held else best
+            if now and found[0] >= covered:
+                out.append((*now[:3], *found))
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if row[:5] != now:
+                    close()
+                    now, held, best = row[:5], [], (0.0, True)
+                if best == (1.0, True):
+                    continue
+                reach = _reach(row[4])
+                if held and row[6] - held[0][1] > 2 * reach:
+                    best = max(best, _best(held, row[4]))
+                    held = [w for w in held if row[6] - w[1] <= reach]
+                held.append(row[5:])
+            yield record()
+            out.clear()
+        close()
+        yield record()
+
+    return run
+
+
+def _reach(tokens: int) -> int:
+    """The most document tokens between the first windows and the last of an alignment."""
+    return tokens
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """(doc_id, key, item_id, coverage, reparameterised): one row for each item found in a text.
 
     `key` is xxhash64 of the text, which tells rows of one doc_id (or null ids) apart; coverage is
     the share of the item's tokens under consistent windows of the best alignment;
-    reparameterised says that some number, name or unit differs there. Null and blank texts hold
+    reparameterised says that windows with another number, name or unit were needed for it. Null and blank texts hold
     nothing; an item with fewer than three tokens, or without a window of three literal tokens,
     cannot be found. Repeated rows and items count once. Other columns are ignored. An empty table
     on either side gives no rows.
     """
     spark = documents.sparkSession
-    items = stored(benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_item_windows, _WINDOWS).distinct(), "items")
+    items = stored(benchmark.select(F.col("item_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("key")).mapInArrow(_item_windows, _WINDOWS).distinct(), "items")
     bits = np.zeros(1 << BITMAP_BITS, np.uint8)
     buckets = items.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("k")).distinct()
     for (k,) in buckets.toLocalIterator():  # at most 2**BITMAP_BITS numbers, whatever the benchmark's size
@@ -154,18 +240,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, covered: float = CO
         return spark.createDataFrame([], "doc_id long, key long, item_id long, coverage double, reparameterised boolean")
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("key"))
     found = docs.mapInArrow(_document_windows(sizes, np.packbits(bits).tobytes()), _WINDOWS)
-    item = items.select("h", F.col("id").alias("item_id"), F.col("at").alias("item_at"), "size", "tokens", F.col("slots").alias("item_slots"))
+    item = items.select("h", F.col("id").alias("item_id"), F.col("key").alias("item_key"), F.col("at").alias("item_at"), "tokens", F.col("slots").alias("item_slots"))
     both = found.select("h", F.col("id").alias("doc_id"), "key", "at", "slots").join(item, "h").where(F.size("slots") == F.size("item_slots"))
-    both = both.withColumn("fills", F.arrays_zip("item_slots", "slots")).withColumn("shift", F.col("at") - F.col("item_at"))
-    # a group holds one row for each window of an item: its size is bounded by the item's length
-    lines = both.groupBy("doc_id", "key", "item_id", "shift", "tokens").agg(
-        F.array_distinct(F.flatten(F.collect_set(F.sequence("item_at", F.col("item_at") + F.col("size") - 1)))).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set("fills"))).alias("fills"),
-    )
-    left = F.size(F.array_distinct(F.transform("fills", lambda f: f["item_slots"])))
-    right = F.size(F.array_distinct(F.transform("fills", lambda f: f["slots"])))
-    lines = lines.where((left == F.size("fills")) & (right == F.size("fills")))
-    lines = lines.withColumn("coverage", F.size("places") / F.col("tokens")).where(F.col("coverage") >= covered)
-    changed = F.exists("fills", lambda f: f["item_slots"] != f["slots"])
-    best = lines.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("coverage", (~changed).alias("same"))).alias("b"))
+    one = ("doc_id", "key", "item_id", "item_key", "tokens")
+    both = both.select(*one, "item_at", "at", "item_slots", "slots").distinct().repartition(*one).sortWithinPartitions(*one, "at", "item_at")
+    lines = both.mapInArrow(_aligned(covered), _PAIRED)
+    best = lines.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("coverage", "same")).alias("b"))
     return best.select("doc_id", "key", "item_id", F.col("b.coverage").alias("coverage"), (~F.col("b.same")).alias("reparameterised"))

@@ -188,6 +188,26 @@ def test_decontamination(spark):
     assert decontam.contaminated(df.limit(0), bench).count() == 0 and decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+PLAIN = "old rivers carry fine sand past the quiet mills while farmers watch the slow water turn under grey clouds before winter brings its long frost"
+
+
+def hits(spark, items, docs):
+    """(doc_id, item_id, reparameterised) of texts numbered from 0."""
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontam.contaminated(spark.createDataFrame(list(enumerate(docs)), DOCS), bench).collect()
+    return {(r.doc_id, r.item_id): (r.reparameterised, round(r.coverage, 3)) for r in rows}
+
+
+def test_decontamination_leaves_out_conflicting_windows_only(spark):
+    a, b = PLAIN[:70].rsplit(" ", 1)[0], PLAIN[71:].split(" ", 1)[1]
+    same = f"there are 5 boats {a} and 5 men {b}"
+    two = f"there are 3 boats {a} and 5 men {b}"
+    got = hits(spark, [same, two], [same.replace("5 men", "7 men"), same.replace("5 boats", "4 boats").replace("5 men", "9 men"), two.replace("3 boats", "4 boats").replace("5 men", "4 men")])
+    assert set(got) == {(d, i) for d in range(3) for i in range(2)}
+    assert all(c < 1 for (d, i), (_, c) in got.items() if (d, i) in {(0, 0), (1, 0), (2, 1)})
+    assert not got[0, 0][0]
+
+
 def test_nearest_neighbours(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAF_POINTS", 20)
     monkeypatch.setattr(ann, "PART", 64)
