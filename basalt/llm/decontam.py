@@ -4,7 +4,9 @@ Texts become token sequences in which numbers, names and units are typed placeho
 question with other numbers or names has the same template. Windows of the items' templates are
 hash-joined with the documents' windows. Windows that match along one alignment of a document and
 an item must fill the placeholders consistently: one item value stands for one document value
-throughout, and the other way round; windows that do not are left out. An alignment that covers enough of the item is a hit.
+throughout, and the other way round; windows that do not are left out. Names or numbers side by
+side are one placeholder, and an alignment may gain or lose a few words on its way (up to
+a quarter of the item's). An alignment that covers enough of the item is a hit.
 
 A fixed-size bitmap of the items' window hashes lets documents emit only windows that may match;
 its size never depends on the data, and a false hit falls in the join.
@@ -13,6 +15,7 @@ its size never depends on the data, and a false hit falls in the join.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +53,14 @@ class Templates:
         unit = np.array([b.lower() in UNITS for b in bare], bool)
         stops = np.array([w == _LINE or w[-1:] in ".!?:;\"'”»)" for w in raw], bool)
         empty = np.array([not b for b in bare], bool)
+        opens = np.array([w.startswith(b) for w, b in zip(raw, bare)], bool)
+        closes = np.array([w.endswith(b) for w, b in zip(raw, bare)], bool)
         self.values = [b.lower() for b in bare]
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(v) for v in self.values), np.uint64, len(raw))
         if not len(codes):
             self.codes = np.empty(0, np.int64)
             self.kind, self.hash, self.offsets = np.empty(0, np.int8), np.empty(0, np.uint64), np.zeros(len(array) + 1, np.int64)
+            self.starts, self.words = np.zeros(1, np.int64), self.offsets
             return
         before_stops = np.concatenate([[True], stops[codes[:-1]]])
         before_stops[offsets[:-1][offsets[:-1] < len(codes)]] = True
@@ -62,12 +68,21 @@ class Templates:
         # a dropped token (line end, bare punctuation) hands its stop on
         name = capital[codes] & ~before_stops
         kept = np.concatenate([[0], np.cumsum(keep)])
-        self.offsets = kept[offsets]
+        words = kept[offsets]
         codes, name = codes[keep], name[keep]
-        self.codes = codes
+        self.codes, self.words = codes, words
         was_number = np.concatenate([[False], number[codes[:-1]]])
-        self.kind = np.where(number[codes], 1, np.where(name, 2, np.where(unit[codes] & was_number, 3, 0))).astype(np.int8)
-        self.hash = np.select([self.kind == 1, self.kind == 2, self.kind == 3], [_PLACES["number"], _PLACES["name"], _PLACES["unit"]], hashes[codes])
+        kind = np.where(number[codes], 1, np.where(name, 2, np.where(unit[codes] & was_number, 3, 0))).astype(np.int8)
+        # names or numbers side by side, with nothing between them, are one placeholder
+        joined = np.zeros(len(codes), bool)
+        beside = np.diff(np.flatnonzero(keep)) == 1
+        joined[1:] = (kind[1:] == kind[:-1]) & ((kind[1:] == 1) | (kind[1:] == 2)) & beside & closes[codes[:-1]] & opens[codes[1:]]
+        joined[words[:-1][words[:-1] < len(codes)]] = False
+        first = np.flatnonzero(~joined)
+        self.starts = np.concatenate([first, [len(codes)]])
+        self.offsets = np.searchsorted(first, words)
+        self.kind = kind[first]
+        self.hash = np.select([self.kind == 1, self.kind == 2, self.kind == 3], [_PLACES["number"], _PLACES["name"], _PLACES["unit"]], hashes[codes[first]])
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, position in the text, hash) of all windows of `size` tokens with enough literals."""
@@ -85,24 +100,27 @@ class Templates:
         at = np.flatnonzero((np.arange(n - size + 1) + size <= self.offsets[owner + 1]) & (literals[size:] - literals[:-size] >= min(LITERALS, size)))
         return owner[at], at - self.offsets[owner[at]], h[at]
 
-    def slots(self, text: int, position: int, size: int) -> list[str]:
-        """The placeholder's type and value of each token in a window, in order; empty for a literal."""
+    def described(self, text: int, position: int, size: int) -> tuple[int, list[int], list[str]]:
+        """A window's place in words, the words of each of its tokens, and their types and values; empty for a literal."""
         start = self.offsets[text] + position
-        return [f"{self.kind[i]}{self.values[self.codes[i]]}" if self.kind[i] else "" for i in range(start, start + size)]
+        cuts = self.starts[start : start + size + 1].tolist()
+        slots = [f"{self.kind[start + k]}{' '.join(self.values[c] for c in self.codes[a:b])}" if self.kind[start + k] else "" for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))]
+        return cuts[0] - int(self.words[text]), [b - a for a, b in zip(cuts[:-1], cuts[1:])], slots
 
 
-_WINDOWS = "h long, id long, key long, at int, size int, tokens int, slots array<string>"
+_WINDOWS = "h long, id long, key long, size int, tokens int, at int, lens array<int>, slots array<string>"
 
 
 def _emitted(templates: Templates, size: int, chosen, batch, keys) -> list[tuple]:
     owner, at, h = chosen
-    lengths = np.diff(templates.offsets)
-    return [(int(x), batch[o], keys[o], int(p), size, int(lengths[o]), templates.slots(o, p, size)) for o, p, x in zip(owner.tolist(), at.tolist(), h.view(np.int64).tolist())]
+    words = np.diff(templates.words)
+    return [(int(x), batch[o], keys[o], size, int(words[o]), *templates.described(o, p, size)) for o, p, x in zip(owner.tolist(), at.tolist(), h.view(np.int64).tolist())]
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["h", "id", "key", "at", "size", "tokens", "slots"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string())]
+    names = ["h", "id", "key", "size", "tokens", "at", "lens", "slots"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
 def _item_windows(batches):
@@ -133,41 +151,81 @@ def _document_windows(sizes: list[int], bitmap: bytes):
     return run
 
 
+def _verbatim(window: tuple) -> bool:
+    return window[3] == window[5]
+
+
 def _consistent(windows: list[tuple]) -> list[tuple]:
-    """The windows (item_at, at, item_slots, slots) of an alignment that fill the placeholders consistently.
+    """The windows (item_at, at, item_lens, item_slots, lens, slots) of an alignment that fill the placeholders consistently.
 
     Of fills that exclude each other (one item value with two document values, or the other way
     round) the one at most places of the item stays, a verbatim one in a tie, otherwise none.
     Windows with another fill go; verbatim windows always stay.
     """
     places: dict[tuple[str, str], set[int]] = {}
-    for item_at, _, mine, its in windows:
-        for k, fill in enumerate(zip(mine, its)):
+    for item_at, _, lens, mine, _, its in windows:
+        for fill, n in zip(zip(mine, its), lens):
             if fill[0]:
-                places.setdefault(fill, set()).add(item_at + k)
+                places.setdefault(fill, set()).add(item_at)
+            item_at += n
     rank = {f: (len(p), f[0] == f[1]) for f, p in places.items()}
     rivals: tuple[dict, dict] = ({}, {})
     for fill in rank:
         for side in (0, 1):
             rivals[side].setdefault(fill[side], []).append(fill)
     stay = {f for f in rank if all(r == f or rank[r] < rank[f] for side in (0, 1) for r in rivals[side][f[side]])}
-    return [w for w in windows if w[2] == w[3] or all(f in stay for f in zip(w[2], w[3]) if f[0])]
+    return [w for w in windows if _verbatim(w) or all(f in stay for f in zip(w[3], w[5]) if f[0])]
 
 
 def _covered(windows: list[tuple]) -> int:
-    return len({item_at + k for item_at, _, mine, _ in windows for k in range(len(mine))})
+    """The most words of the item that the windows lay on words of the document, in order and one on one.
+
+    Only the words of a placeholder may be more on one side: they follow each other at its place.
+    """
+    pairs = set()
+    for item_at, at, item_lens, _, lens, _ in windows:
+        for n, m in zip(item_lens, lens):
+            pairs.update((item_at + k, -(at + min(k, m - 1)), -max(0, k - m + 1)) for k in range(n))
+            item_at, at = item_at + n, at + m
+    ends: list[tuple[int, int]] = []
+    for _, a, k in sorted(pairs):
+        place = (-a, -k)
+        at = bisect_left(ends, place)
+        ends[at : at + 1] = [place]
+    return len(ends)
+
+
+def _band(tokens: int) -> int:
+    """The most words that an alignment may gain or lose on its way through the item."""
+    return max(WINDOW, tokens // 4)
+
+
+def _reach(tokens: int) -> int:
+    """The most words of the document between the first windows and the last of an alignment."""
+    return tokens + _band(tokens)
 
 
 def _best(windows: list[tuple], tokens: int) -> tuple[float, bool]:
-    """(coverage, whether verbatim windows alone reach it) of the best alignment."""
+    """(coverage, whether verbatim windows alone reach it) of the best alignment: windows of one shift, or of a band of shifts."""
     shifts: dict[int, list[tuple]] = {}
     for w in windows:
         shifts.setdefault(w[1] - w[0], []).append(w)
-    best = (0.0, True)
-    for line in shifts.values():
+    order, best = sorted(shifts), (0.0, True)
+    lines = list(shifts.values())
+    for k, s in enumerate(order):
+        stop = bisect_right(order, s + _band(tokens))
+        # a band that ends where the last one did holds nothing new
+        if stop - k > 1 and (not k or stop > bisect_right(order, order[k - 1] + _band(tokens))):
+            lines.append([w for near in order[k:stop] for w in shifts[near]])
+    for line in lines:
+        most = {i for w in line for i in range(w[0], w[0] + sum(w[2]))}
+        if len(most) < best[0] * tokens:
+            continue
         line = _consistent(line)
         places = _covered(line)
-        best = max(best, (places / tokens, _covered([w for w in line if w[2] == w[3]]) == places))
+        best = max(best, (places / tokens, _covered([w for w in line if _verbatim(w)]) == places))
+        if best == (1.0, True):
+            break
     return best
 
 
@@ -175,12 +233,12 @@ _PAIRED = "doc_id long, key long, item_id long, coverage double, same boolean"
 
 
 def _aligned(covered: float):
-    """Arrow mapper over rows (doc_id, key, item_id, item_key, tokens, item_at, at, item_slots, slots), sorted by the first four and `at`.
+    """Arrow mapper over rows (doc_id, key, item_id, item_key, tokens, item_at, at, item_lens, item_slots, lens, slots), sorted by the first four and `at`.
 
     A document's windows of an item are taken in stretches of twice the length that an alignment
     may have, each half of which overlaps the next: memory follows the item, not the document.
     """
-    names = ("doc_id", "key", "item_id", "item_key", "tokens", "item_at", "at", "item_slots", "slots")
+    names = ("doc_id", "key", "item_id", "item_key", "tokens", "item_at", "at", "item_lens", "item_slots", "lens", "slots")
 
     def run(batches):
         now, held, best, out = None, [], (0.0, True), []
@@ -214,11 +272,6 @@ def _aligned(covered: float):
     return run
 
 
-def _reach(tokens: int) -> int:
-    """The most document tokens between the first windows and the last of an alignment."""
-    return tokens
-
-
 def contaminated(documents: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
     """(doc_id, key, item_id, coverage, reparameterised): one row for each item found in a text.
 
@@ -240,10 +293,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, covered: float = CO
         return spark.createDataFrame([], "doc_id long, key long, item_id long, coverage double, reparameterised boolean")
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("key"))
     found = docs.mapInArrow(_document_windows(sizes, np.packbits(bits).tobytes()), _WINDOWS)
-    item = items.select("h", F.col("id").alias("item_id"), F.col("key").alias("item_key"), F.col("at").alias("item_at"), "tokens", F.col("slots").alias("item_slots"))
-    both = found.select("h", F.col("id").alias("doc_id"), "key", "at", "slots").join(item, "h").where(F.size("slots") == F.size("item_slots"))
+    item = items.select("h", F.col("id").alias("item_id"), F.col("key").alias("item_key"), F.col("at").alias("item_at"), "tokens", F.col("lens").alias("item_lens"), F.col("slots").alias("item_slots"))
+    both = found.select("h", F.col("id").alias("doc_id"), "key", "at", "lens", "slots").join(item, "h").where(F.size("slots") == F.size("item_slots"))
     one = ("doc_id", "key", "item_id", "item_key", "tokens")
-    both = both.select(*one, "item_at", "at", "item_slots", "slots").distinct().repartition(*one).sortWithinPartitions(*one, "at", "item_at")
+    both = both.select(*one, "item_at", "at", "item_lens", "item_slots", "lens", "slots").distinct().repartition(*one).sortWithinPartitions(*one, "at", "item_at")
     lines = both.mapInArrow(_aligned(covered), _PAIRED)
     best = lines.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("coverage", "same")).alias("b"))
     return best.select("doc_id", "key", "item_id", F.col("b.coverage").alias("coverage"), (~F.col("b.same")).alias("reparameterised"))

@@ -208,6 +208,27 @@ def test_decontamination_leaves_out_conflicting_windows_only(spark):
     assert not got[0, 0][0]
 
 
+def test_decontamination_allows_added_and_lost_words(spark):
+    words = PLAIN.split()
+    third = len(words) // 3
+    added = " ".join(words[:third] + ["quite"] + words[third : 2 * third] + ["still"] + words[2 * third :])
+    lost = " ".join(words[: len(words) // 2] + words[len(words) // 2 + 1 :])
+    item = "one day near the old mill Tom sold 5000 ripe plums to Ann and then Tom gave the rest of his fruit to Ann for the feast"
+    longer = item.replace("Tom", "Mary Ann").replace("5000", "5 000")
+    got = hits(spark, [PLAIN, item], [added, lost, longer, " ".join(words[:8] * 9)])
+    assert set(got) == {(0, 0), (1, 0), (2, 1)}
+    assert got[0, 0] == (False, 1.0) and got[1, 0] == (False, round((len(words) - 1) / len(words), 3))
+    assert got[2, 1] == (True, 1.0)
+
+
+def test_decontamination_covers_in_order():
+    one = lambda item_at, at: (item_at, at, [1] * 8, [""] * 8, [1] * 8, [""] * 8)
+    assert decontam._covered([one(k, 5) for k in range(9)]) == 8
+    assert decontam._covered([one(0, 30), one(8, 0)]) == 8
+    assert decontam._covered([one(0, 3), one(8, 12)]) == 16
+    assert decontam._covered([(0, 0, [3, 1], ["2a b c", ""], [1, 1], ["2d", ""])]) == 4
+
+
 def test_nearest_neighbours(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAF_POINTS", 20)
     monkeypatch.setattr(ann, "PART", 64)
