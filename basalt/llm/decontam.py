@@ -6,7 +6,8 @@ hash-joined with the documents' windows. Windows that match along one alignment
 an item must fill the placeholders consistently: one item value stands for one document value
 throughout, and the other way round; windows that do not are left out. Names or numbers side by
 side are one placeholder, and an alignment may gain or lose a few words on its way (up to
-a quarter of the item's). An alignment that covers enough of the item is a hit.
+a quarter of the item's). Windows of words as they are, of any length and kind, are joined as well,
+so that verbatim copies need no literals. An alignment that covers enough of the item is a hit.
 
 A fixed-size bitmap of the items' window hashes lets documents emit only windows that may match;
 its size never depends on the data, and a false hit falls in the join.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .text import coded, slices, split_words, stored, texts
 
-#: Tokens in a window, share of an item's tokens that must be covered, literal tokens that a window must hold.
+#: Tokens in a window, share of an item's words that must be covered, literal tokens that a template window must hold.
 WINDOW = 8
 COVERED = 0.6
 LITERALS = 3
@@ -37,6 +38,8 @@ UNITS = frozenset("mm cm m km inch inches ft feet yd yards mile miles mg g kg lb
 _NUMBER = re.compile(r"[+-]?[0-9]+(?:[.,:/][0-9]+)*%?\Z")
 _EDGES = re.compile(r"\A[\W_]+|[\W_]+\Z")
 _LINE = "\u2028"
+#: Scripts without spaces between words: each of their characters is a word of its own.
+_SPACELESS = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])"
 _PLACES = {name: np.uint64(xxhash.xxh3_64_intdigest(f"\x00{name}")) for name in ("number", "name", "unit")}
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -45,6 +48,8 @@ class Templates:
     """The templates of a slice of texts: token hashes, types (0 literal, 1 number, 2 name, 3 unit) and values."""
 
     def __init__(self, array: pa.Array):
+        if not pc.all(pc.string_is_ascii(array), min_count=0).as_py():
+            array = pc.replace_substring_regex(array, _SPACELESS, r" \1 ")
         flat, offsets = split_words(pc.replace_substring(array, "\n", f" {_LINE} "), lower=False)
         codes, raw = coded(flat)
         bare = [_EDGES.sub("", w) if w != _LINE else "" for w in raw]
@@ -60,7 +65,7 @@ class Templates:
         if not len(codes):
             self.codes = np.empty(0, np.int64)
             self.kind, self.hash, self.offsets = np.empty(0, np.int8), np.empty(0, np.uint64), np.zeros(len(array) + 1, np.int64)
-            self.starts, self.words = np.zeros(1, np.int64), self.offsets
+            self.starts, self.words, self.plain, self.led = np.zeros(1, np.int64), self.offsets, self.hash, self.hash
             return
         before_stops = np.concatenate([[True], stops[codes[:-1]]])
         before_stops[offsets[:-1][offsets[:-1] < len(codes)]] = True
@@ -69,13 +74,21 @@ class Templates:
         name = capital[codes] & ~before_stops
         kept = np.concatenate([[0], np.cumsum(keep)])
         words = kept[offsets]
-        codes, name = codes[keep], name[keep]
+        all_codes, codes, name = codes, codes[keep], name[keep]
         self.codes, self.words = codes, words
         was_number = np.concatenate([[False], number[codes[:-1]]])
         kind = np.where(number[codes], 1, np.where(name, 2, np.where(unit[codes] & was_number, 3, 0))).astype(np.int8)
+        # bare symbols are no words, but tell exact windows apart that hold them
+        symbols = np.fromiter((xxhash.xxh3_64_intdigest(w) if e and w != _LINE else 0 for w, e in zip(raw, empty)), np.uint64, len(raw))
+        at = np.flatnonzero(keep)
+        self.plain = hashes[codes]
+        with np.errstate(over="ignore"):
+            passed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols[all_codes], dtype=np.uint64)])[at]
+            self.led = self.plain.copy()
+            self.led[1:] ^= np.diff(passed) * _M2
         # names or numbers side by side, with nothing between them, are one placeholder
         joined = np.zeros(len(codes), bool)
-        beside = np.diff(np.flatnonzero(keep)) == 1
+        beside = np.diff(at) == 1
         joined[1:] = (kind[1:] == kind[:-1]) & ((kind[1:] == 1) | (kind[1:] == 2)) & beside & closes[codes[:-1]] & opens[codes[1:]]
         joined[words[:-1][words[:-1] < len(codes)]] = False
         first = np.flatnonzero(~joined)
@@ -100,6 +113,21 @@ class Templates:
         at = np.flatnonzero((np.arange(n - size + 1) + size <= self.offsets[owner + 1]) & (literals[size:] - literals[:-size] >= min(LITERALS, size)))
         return owner[at], at - self.offsets[owner[at]], h[at]
 
+    def exact(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place in words, hash) of all windows of `size` words as they are, whatever their types."""
+        n = len(self.plain)
+        if n < size:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        with np.errstate(over="ignore"):
+            h = np.full(n - size + 1, ~np.uint64(size))
+            for k in range(size):
+                h = (h ^ (self.led if k else self.plain)[k : n - size + 1 + k]) * _M1
+                h ^= h >> np.uint64(31)
+            h *= _M2
+        owner = np.repeat(np.arange(len(self.words) - 1), np.diff(self.words))[: n - size + 1]
+        at = np.flatnonzero(np.arange(n - size + 1) + size <= self.words[owner + 1])
+        return owner[at], at - self.words[owner[at]], h[at]
+
     def described(self, text: int, position: int, size: int) -> tuple[int, list[int], list[str]]:
         """A window's place in words, the words of each of its tokens, and their types and values; empty for a literal."""
         start = self.offsets[text] + position
@@ -108,44 +136,49 @@ class Templates:
         return cuts[0] - int(self.words[text]), [b - a for a, b in zip(cuts[:-1], cuts[1:])], slots
 
 
-_WINDOWS = "h long, id long, key long, size int, tokens int, at int, lens array<int>, slots array<string>"
+_WINDOWS = "h long, id long, key long, exact boolean, size int, tokens int, at int, lens array<int>, slots array<string>"
 
 
-def _emitted(templates: Templates, size: int, chosen, batch, keys) -> list[tuple]:
+def _emitted(templates: Templates, exact: bool, size: int, chosen, batch, keys) -> list[tuple]:
     owner, at, h = chosen
     words = np.diff(templates.words)
-    return [(int(x), batch[o], keys[o], size, int(words[o]), *templates.described(o, p, size)) for o, p, x in zip(owner.tolist(), at.tolist(), h.view(np.int64).tolist())]
+
+    def described(o, p):
+        return (int(p), [1] * size, [""] * size) if exact else templates.described(o, p, size)
+
+    return [(int(x), batch[o], keys[o], exact, size, int(words[o]), *described(o, p)) for o, p, x in zip(owner.tolist(), at.tolist(), h.view(np.int64).tolist())]
 
 
 def _record(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string())]
-    names = ["h", "id", "key", "size", "tokens", "at", "lens", "slots"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string())]
+    names = ["h", "id", "key", "exact", "size", "tokens", "at", "lens", "slots"]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
 def _item_windows(batches):
+    """Template windows of the items with three tokens at least, and exact windows of all."""
     for batch in slices(batches):
         t = Templates(texts(batch))
         ids, keys, rows = batch.column("id").to_pylist(), batch.column("key").to_pylist(), []
-        lengths = np.diff(t.offsets)
-        for size in {min(WINDOW, int(n)) for n in lengths if n >= LITERALS}:
-            owner, at, h = t.windows(size)
-            own = np.minimum(lengths[owner], WINDOW) == size
-            rows += _emitted(t, size, (owner[own], at[own], h[own]), ids, keys)
+        for exact, lengths, least in ((False, np.diff(t.offsets), LITERALS), (True, np.diff(t.words), 1)):
+            for size in {min(WINDOW, int(n)) for n in lengths if n >= least}:
+                owner, at, h = t.exact(size) if exact else t.windows(size)
+                own = np.minimum(lengths[owner], WINDOW) == size
+                rows += _emitted(t, exact, size, (owner[own], at[own], h[own]), ids, keys)
         yield _record(rows)
 
 
-def _document_windows(sizes: list[int], bitmap: bytes):
+def _document_windows(sizes: list[tuple[bool, int]], bitmap: bytes):
     def run(batches):
         bits = np.frombuffer(bitmap, np.uint8)
         for batch in slices(batches):
             t = Templates(texts(batch))
             ids, keys, rows = batch.column("id").to_pylist(), batch.column("key").to_pylist(), []
-            for size in sizes:
-                owner, at, h = t.windows(size)
+            for exact, size in sizes:
+                owner, at, h = t.exact(size) if exact else t.windows(size)
                 place = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
                 may = np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
-                rows += _emitted(t, size, (owner[may], at[may], h[may]), ids, keys)
+                rows += _emitted(t, exact, size, (owner[may], at[may], h[may]), ids, keys)
             yield _record(rows)
 
     return run
@@ -276,11 +309,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, covered: float = CO
     """(doc_id, key, item_id, coverage, reparameterised): one row for each item found in a text.
 
     `key` is xxhash64 of the text, which tells rows of one doc_id (or null ids) apart; coverage is
-    the share of the item's tokens under consistent windows of the best alignment;
-    reparameterised says that windows with another number, name or unit were needed for it. Null and blank texts hold
-    nothing; an item with fewer than three tokens, or without a window of three literal tokens,
-    cannot be found. Repeated rows and items count once. Other columns are ignored. An empty table
-    on either side gives no rows.
+    the share of the item's words under consistent windows of the best alignment;
+    reparameterised says that windows with another number, name or unit were needed for it. Items
+    are found verbatim whatever their words, down to a single one; a template window needs three
+    literal tokens. Null texts and texts without a letter or digit hold nothing and are not found.
+    Repeated rows and items count once. Other columns are ignored. An empty table on either side
+    gives no rows.
     """
     spark = documents.sparkSession
     items = stored(benchmark.select(F.col("item_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("key")).mapInArrow(_item_windows, _WINDOWS).distinct(), "items")
@@ -288,7 +322,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, covered: float = CO
     buckets = items.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("k")).distinct()
     for (k,) in buckets.toLocalIterator():  # at most 2**BITMAP_BITS numbers, whatever the benchmark's size
         bits[k] = 1
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW numbers
+    sizes = sorted(tuple(r) for r in items.select("exact", "size").distinct().collect())  # at most twice WINDOW
     if not sizes:
         return spark.createDataFrame([], "doc_id long, key long, item_id long, coverage double, reparameterised boolean")
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("key"))

@@ -229,6 +229,13 @@ def test_decontamination_covers_in_order():
     assert decontam._covered([(0, 0, [3, 1], ["2a b c", ""], [1, 1], ["2d", ""])]) == 4
 
 
+def test_decontamination_finds_verbatim_items_of_few_literals(spark):
+    items = ["What is 12 + 7 * 3 - 4 / 2 + 9?", "Tom Ann Bob Mary Sue Jim Kate Paul Rose Fred", "北京是哪个国家的首都？", "Quantum entanglement", "Paris", "Count 1 2 3 4 5 6 7 8 9 10 11 12 13 14 now", "¿? …"]
+    docs = [f"before it all, {t} after it" for t in items[:3]] + ["长江以北的北京是哪个国家的首都？答案在书里", "the quantum entanglement of spins", "in Paris, then", f"lead 3 {items[5]} and", "What is 12 - 7 / 3 + 4 * 2 - 9?", "clean text …"]
+    got = hits(spark, items, docs)
+    assert {k for k, (changed, c) in got.items() if not changed and c == 1} == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 3), (5, 4), (6, 5)} == set(got)
+
+
 def test_nearest_neighbours(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAF_POINTS", 20)
     monkeypatch.setattr(ann, "PART", 64)
