@@ -14,16 +14,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import bounded_sample, coded, hashed_ngrams, segment_sums, slices, split_words, texts
+from .text import bounded_sample, coded, expand, hashed_ngrams, segment_sums, slices, split_words, texts
 
 #: Bounds of the labelled sample: rows of each language, characters in all, languages.
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 8_000_000
 LANGUAGES = 200
 BUCKETS = 1 << 16
-#: Words in a run, the most languages of a document, rounds of expectation-maximisation.
+#: Words in a run, the least number of languages from which elimination starts, rounds of expectation-maximisation.
 RUN = 8
-MOST = 4
+START = 4
 ROUNDS = 8
 UNKNOWN = "und"
 
@@ -54,32 +54,46 @@ def fit_languages(labelled: DataFrame) -> LanguageModels:
 
 
 def _mixtures(runs: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the chosen languages for each document, from log-likelihoods of its runs."""
+    """Proportions of the chosen languages for each document, from log-likelihoods of its runs.
+
+    Languages are eliminated one by one from all that the document may hold. A run's likelihood
+    is at most that of its best language, so sets whose penalty alone exceeds the loss of the best
+    single language cannot be chosen, nor do more languages than runs help: none of these is tried.
+    """
     n, k = np.diff(offsets), runs.shape[1]
-    owner = np.repeat(np.arange(len(n)), n)
     p = np.exp(runs - runs.max(1, keepdims=True))
     p = np.maximum(p, 1e-30)
+    cost = 0.5 * np.log(np.maximum(n, 1) + 1) + 2.0
+    alone = segment_sums(np.log(p), offsets).max(1)
+    start = np.minimum(np.maximum(np.minimum(n, np.floor(1 - alone / cost + 1e-6)), START), k).astype(np.int64)
     best = np.full(len(n), -np.inf)
     chosen = np.zeros((len(n), k))
-    weight = np.maximum(n, 1)[:, None]
 
-    def rounds(pi, times):
+    def rounds(p, offsets, pi, times):
+        sizes = np.diff(offsets)
+        owner, weight = np.repeat(np.arange(len(sizes)), sizes), np.maximum(sizes, 1)[:, None]
         for _ in range(times):
             joint = p * pi[owner]
             joint /= joint.sum(1, keepdims=True)
             pi = segment_sums(joint, offsets) / weight
         return pi
 
-    pi = rounds(np.full((len(n), k), 1 / k), ROUNDS)
-    for size in range(min(MOST, k), 0, -1):
-        drop = np.argsort(-pi, 1, kind="stable")[:, size:]
-        np.put_along_axis(pi, drop, 0.0, 1)
-        pi /= np.maximum(pi.sum(1, keepdims=True), 1e-300)
+    pi = rounds(p, offsets, np.full((len(n), k), 1 / k), ROUNDS)
+    for size in range(int(start.max(initial=1)), 0, -1):
+        live = np.flatnonzero(start >= size)
+        own = np.concatenate([[0], np.cumsum(n[live])])
+        part = p if len(live) == len(n) else p[expand(offsets[live], n[live])]
+        now = pi[live]
+        drop = np.argsort(-now, 1, kind="stable")[:, size:]
+        np.put_along_axis(now, drop, 0.0, 1)
+        now /= np.maximum(now.sum(1, keepdims=True), 1e-300)
         if size > 1:
-            pi = rounds(pi, ROUNDS // 2)
-        value = segment_sums(np.log(np.maximum((p * pi[owner]).sum(1), 1e-300)), offsets) - size * 0.5 * np.log(weight[:, 0] + 1) - 2.0 * size
-        better = value > best
-        best[better], chosen[better] = value[better], pi[better]
+            now = rounds(part, own, now, ROUNDS // 2)
+        mixed = (part * now[np.repeat(np.arange(len(live)), n[live])]).sum(1)
+        value = segment_sums(np.log(np.maximum(mixed, 1e-300)), own) - size * cost[live]
+        better = value > best[live]
+        best[live[better]], chosen[live[better]] = value[better], now[better]
+        pi[live] = now
     return chosen, n
 
 

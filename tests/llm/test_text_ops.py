@@ -59,6 +59,23 @@ def test_language_mixtures(spark):
     assert {r.lang_pred for r in langid.identify(mixed, none).collect()} == {"und"}
 
 
+def test_language_id_finds_all_languages_of_a_text():
+    rng = random.Random(4)
+    letters = {f"l{i}": "abcdefghijklmnopqrstuvwxyz"[3 * i : 3 * i + 3] for i in range(8)}
+    say = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(5)) for _ in range(n))
+    counts = np.zeros((langid.BUCKETS, 8))
+    for k in range(8):
+        flat, _ = langid.hashed_ngrams(say(f"l{k}", 400).split(), (3,), langid.BUCKETS, whole=False)
+        counts[:, k] = np.bincount(flat, minlength=langid.BUCKETS)
+    models = langid.LanguageModels(list(letters), counts)
+    seven = " ".join(say(f"l{k}", 80) for k in range(7))
+    texts = [seven, say("l3", 40), "", say("l1", 8), seven + " " + say("l2", 560), say("l0", 8) + " " + say("l5", 8)]
+    langs, score, sets = langid.infer(pa.array(texts), models)
+    assert set(sets[0]) == {f"l{k}" for k in range(7)} and all(abs(v - 1 / 7) < 0.02 for v in sets[0].values())
+    assert langs[4] == "l2" and abs(score[4] - 4 / 7) < 0.02 and len(sets[4]) == 7
+    assert [langs[1], langs[2], langs[3]] == ["l3", "und", "l1"] and set(sets[1]) == {"l3"} and set(sets[5]) == {"l0", "l5"}
+
+
 def luhn(x):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(x))) % 10 == 0
 
