@@ -64,7 +64,7 @@ def shingle_sets(array: pa.Array, n: int) -> list[np.ndarray]:
     words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))[codes]
     with np.errstate(over="ignore"):
         rolled = np.zeros(len(words), np.uint64)
-        for k in range(n):
+        for k in range(min(n, len(words))):
             rolled[: len(words) - k] = _mixed(rolled[: len(words) - k] * _MULT[0] + words[k:] + _MULT[1])
         out = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):

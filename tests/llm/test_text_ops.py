@@ -181,6 +181,19 @@ def test_jaccard_groups(spark, monkeypatch, n, percent):
     assert jaccard.jaccard_groups(df.limit(0), n, percent).count() == 0
 
 
+@pytest.mark.parametrize("words", range(6))
+def test_shingles_of_a_slice_with_few_words(words):
+    text = " ".join("abcde"[:words])
+    alone = jaccard.shingle_sets(pa.array([text]), 5)
+    among = jaccard.shingle_sets(pa.array([text, "one two three four five six seven"]), 5)
+    assert len(alone) == 1 and alone[0].tolist() == among[0].tolist() and len(alone[0]) == min(words, 1)
+
+
+def test_groups_of_a_one_row_partition(spark):
+    (row,) = jaccard.jaccard_groups(spark.createDataFrame([(3, "two words")], DOCS).coalesce(1), n=5, percent=80).collect()
+    assert (row.doc_id, row.n_shingles, row.component_id) == (3, 1, 3)
+
+
 def test_count_tree_bound_loses_nothing():
     rng = np.random.default_rng(1)
     points = rng.integers(0, 5, (500, 16)).astype(np.uint16)
