@@ -38,15 +38,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest doc_id.
+    """One row of each group of near duplicates stays: that with the smallest doc_id, null last, then by its text's hash.
 
-    Five words and a similarity of 0.8. Documents without words are in no group and stay; rows
-    that repeat a kept doc_id stay as they are told apart by nothing.
+    Five words and a similarity of 0.8. Rows are grouped by their texts, each under a number of its
+    own, so rows without a doc_id and rows that repeat one are compared like all others. Documents
+    without words are in no group and stay, equal ones of one doc_id once.
     """
     from .jaccard import jaccard_groups
-
-    groups = jaccard_groups(docs, n=5, percent=80).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(groups, docs.doc_id.eqNullSafe(groups.doc_id), "left_semi").select(*COLUMNS)
+    from .text import stored
+
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row_id"), *COLUMNS), "numbered")
+    groups = jaccard_groups(rows.select(F.col("row_id").alias("doc_id"), "text"), n=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("row_id"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
+    order = rows.select("row_id", F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64("lang", "source", "n_chars").alias("rest"))
+    wordless = F.when(F.col("component").isNull(), F.struct("doc_id", "text_hash"))
+    first = F.min(F.struct("no_id", "doc_id", "text_hash", "rest", "row_id"))["row_id"].alias("row_id")
+    kept = groups.join(order, "row_id").groupBy("component", wordless.alias("wordless")).agg(first).select("row_id")
+    return rows.join(kept, "row_id", "left_semi").select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

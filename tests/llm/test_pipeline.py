@@ -58,3 +58,17 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
     want = {i: tokenizer.encode(pii.redact(t, pii.find_spans(t, field)[1]), add_special_tokens=False).ids for i, t in kept}
     assert {i: r.ids for i, r in got.items()} == want
     assert 400 in got and 300 not in got and 100 not in got and 200 not in got and 503 in got
+
+
+def test_jaccard_stage_keeps_one_row_of_null_and_repeated_ids(spark):
+    from basalt.llm import stages
+
+    rng = random.Random(8)
+    prose = [" ".join(rng.choice("abcdefghij") * rng.randint(2, 9) for _ in range(40)) for _ in range(5)]
+    rows = [(None, prose[0]), (None, prose[0]), (None, prose[0] + " more"), (7, prose[1]), (7, prose[1]), (7, prose[2]), (3, prose[3]), (None, prose[3]), (5, prose[3]), (None, prose[4]), (8, ""), (8, ""), (9, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS).repartition(3)
+    got = [(r.doc_id, r.text) for r in stages.ngram_jaccard_join(spark, docs, "").collect()]
+    near = [(i, t) for i, t in got if i is None and t and t.startswith(prose[0])]
+    assert len(near) == 1
+    rest = sorted((g for g in got if g not in near), key=repr)
+    assert rest == sorted([(7, prose[1]), (7, prose[2]), (3, prose[3]), (None, prose[4]), (8, ""), (9, ""), (None, None)], key=repr)
