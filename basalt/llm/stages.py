@@ -16,8 +16,8 @@ def _same_row(docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go: null texts, texts without a letter.
 
-    The models learn from the documents' own lang column; a text in any mixture of learned
-    languages stays, and lang of a kept document is as it was.
+    The models learn from the documents' own lang column. Proportions, set and likelihood decide
+    nothing here: any text with a letter stays, and lang of a kept document is as it was.
     """
     from .langid import UNKNOWN, fit_languages, infer
     from .text import slices, texts
