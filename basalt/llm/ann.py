@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .text import stored
+from .text import lean, stored
 
 #: Bounds: vectors in the fitted sample, leaves, calibration queries; children of a node; points of a leaf's part.
 SAMPLE = 20_000
@@ -193,7 +193,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL, l
                 yield pa.RecordBatch.from_arrays([b.column("pid"), b.column("ids"), b.column("embedding"), pa.array(leaf)], names=["pid", "ids", "embedding", "leaf"])
 
     kind = groups.schema["embedding"].dataType.simpleString()
-    points = stored(groups.select("pid", "ids", "embedding").mapInArrow(to_leaf, f"pid long, ids array<long>, embedding {kind}, leaf long"), "leaves")
+    points = stored(groups.select("pid", "ids", "embedding").mapInArrow(lean(to_leaf), f"pid long, ids array<long>, embedding {kind}, leaf long"), "leaves")
     sizes = {r.leaf: r["count"] for r in points.groupBy("leaf").count().collect()}  # at most a row for each leaf
     parts = {leaf: -(-c // PART) for leaf, c in sizes.items()}
 
@@ -230,7 +230,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL, l
     dealt = points.join(table, "leaf").withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int")).select("leaf", "part", "ids", "embedding")
 
     def search(these, barred):
-        visited = these.mapInArrow(to_visits(barred), f"qid long, embedding {kind}, leaf long, part int, bar double")
+        visited = these.mapInArrow(lean(to_visits(barred)), f"qid long, embedding {kind}, leaf long, part int, bar double")
         return dealt.groupBy("leaf", "part").cogroup(visited.groupBy("leaf", "part")).applyInArrow(_search(keep), _FOUND)
 
     found = stored(search(queries, True), "found")
@@ -260,7 +260,7 @@ def _calibrated(points: DataFrame, queries: DataFrame, tree: MeansTree, keep: in
                 rows = [(i, s, p, leaf[p]) for i, best in enumerate(_best(q, x, [[p] for p in range(len(pid))], keep)) for s, p in best]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([pid[r[2]] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["qid", "score", "vec_id", "leaf"])
 
-    truth = _top(points.select("pid", "embedding", "leaf").mapInArrow(brute, _FOUND + ", leaf long"), keep).select("qid", "leaf").collect()
+    truth = _top(points.select("pid", "embedding", "leaf").mapInArrow(lean(brute), _FOUND + ", leaf long"), keep).select("qid", "leaf").collect()
     place = [{leaf: i for i, leaf in enumerate(tree.visit(v, tree.leaves))} for v in q]
     need = sorted(place[r.qid][r.leaf] + 1 for r in truth)
     return min(tree.leaves, need[min(len(need) - 1, int(np.ceil(recall * len(need))))] + 1)

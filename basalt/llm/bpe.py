@@ -23,14 +23,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import expand, slices, texts
+from .text import expand, lean, slices, texts
 
 #: Fixed value: the published pre-tokenisation pattern of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes up to which a word goes through the rank array; longer ones through the heap.
 SHORT = 32
 #: Chunks whose ids a worker remembers. Chunks met later are encoded for their slice only.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 NONE = np.int32(2**31 - 1)
 #: An empty part, or one with white space at an end, by RE2's syntax.
 ODD = r"^$|\A[\t-\r\x1c-\x20\x{85}\p{Z}]|[\t-\r\x1c-\x20\x{85}\p{Z}]\z"
@@ -352,4 +352,4 @@ def bpe_round_trip(documents: DataFrame, path: str, keep_ids: bool = False, keep
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), schema)

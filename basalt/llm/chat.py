@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import lean
+
 #: The production template; marks are `### Role: ` and `</turn>`.
 TEMPLATE = (
     "{% for m in messages %}### {{ m.role|role }}: "
@@ -452,7 +454,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, piece_chars
         yield from _batched(pieces(), schema)
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, _OUT)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(lean(run), _OUT)
 
 
 _TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\])*?)</turn>\n", re.DOTALL)
@@ -493,4 +495,4 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
         yield from _batched(digests(), schema)
 
     kinds = ", ".join(f"{n} {'string' if 'sha' in n else 'long'}" for n in names)
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(run, kinds)
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(lean(run), kinds)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import ChunkGather
-from .text import expand, slices, stored, texts
+from .text import expand, lean, slices, stored, texts
 
 MAGIC = b"DAC1"
 BITS = 512
@@ -202,7 +202,7 @@ def write_codes(documents: DataFrame, path: str, end_id: int | None = 0) -> Data
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # range bounds over the ids alone; equal ids stay together and are ordered by text
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(dealt.mapInArrow(run, "part int, seq int, n_tokens long, payload binary"), "token-files")
+    return stored(dealt.mapInArrow(lean(run), "part int, seq int, n_tokens long, payload binary"), "token-files")
 
 
 def file_starts(files: DataFrame) -> DataFrame:
@@ -230,5 +230,5 @@ def read_codes(files: DataFrame) -> DataFrame:
                     names=["part", "seq", "doc_id", "within", "n_tokens", "ids_crc32"],
                 )
 
-    rows = files.select("part", "seq", "payload").mapInArrow(run, "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "seq", "payload").mapInArrow(lean(run), "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long")
     return rows.join(file_starts(files.select("part", "seq", "n_tokens")), ["part", "seq"]).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import coded, slices, split_words, stored, texts
+from .text import coded, lean, slices, split_words, stored, texts
 
 #: Tokens in a window, share of an item's words that must be covered, literal tokens that a template window must hold.
 WINDOW = 8
@@ -181,7 +181,7 @@ def _document_windows(sizes: list[tuple[bool, int]], bitmap: bytes):
                 rows += _emitted(t, exact, size, (owner[may], at[may], h[may]), ids, keys)
             yield _record(rows)
 
-    return run
+    return lean(run)
 
 
 def _verbatim(window: tuple) -> bool:
@@ -302,7 +302,7 @@ def _aligned(covered: float):
         close()
         yield record()
 
-    return run
+    return lean(run)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, covered: float = COVERED) -> DataFrame:
@@ -317,7 +317,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, covered: float = CO
     gives no rows.
     """
     spark = documents.sparkSession
-    items = stored(benchmark.select(F.col("item_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("key")).mapInArrow(_item_windows, _WINDOWS).distinct(), "items")
+    items = stored(benchmark.select(F.col("item_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("key")).mapInArrow(lean(_item_windows), _WINDOWS).distinct(), "items")
     bits = np.zeros(1 << BITMAP_BITS, np.uint8)
     buckets = items.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("k")).distinct()
     for (k,) in buckets.toLocalIterator():  # at most 2**BITMAP_BITS numbers, whatever the benchmark's size

@@ -12,9 +12,14 @@ J >= t share a token among the first n - ceil(t n) + 1 of each. The order is by
 that several documents share come last, so shared passages do not make blocks. Sharing is counted
 over all documents for the tokens of a fixed share of the hash range, into a bitmap of fixed size;
 a counted token without its bit stands in one document only and names no block. Equal sets are one
-node. Within blocks, first one surviving partner per
-node is verified; then all surviving pairs whose ends are still in different groups. A group of
-many near copies thus costs a star, not all its pairs, and no link between groups is lost.
+node.
+
+Links are found in three rounds. First each node meets only two of its blocks and its likeliest
+partner is verified. Then, in blocks that still hold several groups, each node outside a block's
+largest group gets its likeliest partner in every other group; last, all its surviving partners in
+other groups. A group of many near copies thus costs a row or two a node, not all its pairs, and
+no link between groups is lost. Blocks of many nodes are indexed in parts: in the first round a few
+nodes of the block meet all parts and tie them together, later only nodes outside the largest group do.
 """
 
 from __future__ import annotations
@@ -24,27 +29,33 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .graph import components
-from .text import coded, slices, split_words, stored, texts
+from .text import coded, discard, lean, slices, split_words, stored, texts
 
-#: Tokens that a group holds on average, and the fewest groups.
-PER_GROUP = 2
+#: Groups of tokens: the fewest, the most that are finer than a token each, and tokens that a group of larger sets holds.
 LEAST_GROUPS = 16
+FINE_GROUPS = 2048
+PER_GROUP = 2
 #: A count of 255 or more is stored as 255 and read as this: the bound only grows.
 FULL = 65535
 #: The counted share of the hash range, as a multiple of a prefix's share of a set.
 COUNTED = 1.75
 #: Bits of the shared-token bitmap: its size never depends on the data; a false hit only reorders.
 BITMAP_BITS = 25
-#: Bits of the bitmaps of wanted doc_ids, by which texts are left out before they are shuffled.
-ID_BITS = 22
+#: Bits a wanted doc_id gets, and the most in all, in the bitmaps by which texts are left out before they are shuffled.
+BITS_AN_ID = 16
+MOST_ID_BITS = 26
 #: Rows compared with one centre in a task.
 CENTRE_ROWS = 512
-#: Points of a block that one task indexes at once; larger blocks are dealt out as pairs of parts.
+#: Points of a block that one task indexes at once; larger blocks are dealt out in parts. Nodes that tie parts together.
 BLOCK_POINTS = 2048
+HUBS = 32
+#: Parts into which the rows of any key are dealt where facts of the key are joined to them.
+SALTS = 16
 LEAF = 32
+#: Bytes of coordinates compared at once.
+COMPARED = 1 << 21
 
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -81,7 +92,8 @@ def shingle_sets(array: pa.Array, n: int) -> list[np.ndarray]:
 
 
 def _groups(n: int) -> int:
-    return max(LEAST_GROUPS, 1 << (max(n - 1, 0) // PER_GROUP).bit_length())
+    """Sets whose sizes differ by less than a factor of two have equal or neighbouring numbers of groups."""
+    return max(LEAST_GROUPS, min(1 << max(2 * n - 1, 0).bit_length(), FINE_GROUPS), 1 << (max(n - 1, 0) // PER_GROUP).bit_length())
 
 
 def _limit(percent: int) -> np.uint64:
@@ -98,7 +110,7 @@ def _counted_tokens(n: int, percent: int):
             every = [s[: int(np.searchsorted(s, limit))] for s in shingle_sets(texts(batch), n)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(every).view(np.int64))], names=["t"])
 
-    return run
+    return lean(run)
 
 
 def _token_bucket(s: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
@@ -138,7 +150,7 @@ def _described(n: int, percent: int, shared: bytes):
                 names=["doc_id", "n", "h1", "h2", "point", "prefix"],
             )
 
-    return run
+    return lean(run)
 
 
 def _bitmap(numbers: DataFrame, bits: int) -> bytes:
@@ -165,29 +177,30 @@ def _bitmap(numbers: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
-def _id_bucket(ids: np.ndarray) -> np.ndarray:
+def _id_bucket(ids: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (_mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+        return (_mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _among(batches, column: str, bitmap: bytes):
-    """The rows whose id is in the bitmap (or shares a bit with one that is); an empty bitmap lets all pass."""
+    """The rows whose id is in the bitmap (or shares a bit with one that is)."""
     bits = np.frombuffer(bitmap, np.uint8)
     for batch in batches:
-        if bitmap and batch.num_rows:
-            at = _id_bucket(batch.column(column).fill_null(0).to_numpy(zero_copy_only=False))
+        if batch.num_rows:
+            at = _id_bucket(batch.column(column).fill_null(0).to_numpy(zero_copy_only=False), (8 * len(bits)).bit_length() - 1)
             batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
         yield batch
 
 
-def _id_bitmap(ids: DataFrame) -> bytes:
-    """A bitmap of fixed size over the single column of ids."""
+def _id_bitmap(ids: DataFrame, count: int) -> bytes:
+    """A bitmap over the single column of `count` ids, of a size that follows their number up to a bound."""
+    bits = min(MOST_ID_BITS, max(16, (BITS_AN_ID * count).bit_length()))
 
     def buckets(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_id_bucket(b.column(0).to_numpy(zero_copy_only=False)))], names=["k"])
+            yield pa.RecordBatch.from_arrays([pa.array(_id_bucket(b.column(0).to_numpy(zero_copy_only=False), bits))], names=["k"])
 
-    return _bitmap(ids.mapInArrow(buckets, "k long"), ID_BITS)
+    return _bitmap(ids.mapInArrow(buckets, "k long"), bits)
 
 
 _DESCRIBED = "doc_id long, n long, h1 long, h2 long, point binary, prefix array<long>"
@@ -227,7 +240,10 @@ class CountTree:
 
 
 def _unpacked(points: list[bytes]) -> np.ndarray:
-    out = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1).astype(np.uint16)
+    out = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1)
+    if not (out == 255).any():
+        return out
+    out = out.astype(np.uint16)
     out[out == 255] = FULL
     return out
 
@@ -242,69 +258,86 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b).sum(-1, dtype=np.int64)
 
 
-def _block_pairs(percent: int, star: bool):
-    """Arrow mapper over rows (key, side, id, n, point, label) sorted by key: surviving pairs a < b, each once per task.
+def _block_pairs(percent: int, partners: str):
+    """Arrow mapper over rows (key, side, ask, id, n, point, label, major) sorted by key: pairs that survive the tree.
 
-    Side 0 rows are indexed; side 1 rows only query (for blocks dealt out as pairs of parts). With
-    `star`, a point yields its smallest surviving partner only; labels that agree yield nothing.
+    Side 0 rows are indexed; rows that `ask` are searched for. Yields (id, other, label, score): an asking node,
+    a partner of another label, the partner's label and the bound on their similarity in steps of a twentieth.
+    `partners`: "one", that of the highest score, then smallest id, for each asking node; "each", the same for
+    each other label; "all", every pair once in a block. `major` marks nodes of the block's largest group, which
+    do not ask in the last two.
     """
 
-    def one(ids, sides, sizes, points, labels, seen):
+    def one(ids, sides, asks, sizes, points, labels, majors, found):
         # sets that may link differ by less than a factor of two: their numbers of groups are equal or neighbours
         widths = np.fromiter(map(len, points), np.int64, len(points))
-        best: dict[int, int] = {}
         for width in np.unique(widths).tolist():
             at, above = np.flatnonzero(widths == width), np.flatnonzero(widths == 2 * width)
             x = _unpacked([points[i] for i in at])
             if len(above):
                 x, at = np.concatenate([x, _folded(_unpacked([points[i] for i in above]))]), np.concatenate([at, above])
             if len(at) > 1:
-                within(ids[at], sides[at], sizes[at], x, labels[at], seen, best, len(at) - len(above))
-        for me, p in best.items():
-            seen.add((min(me, p), max(me, p)))
+                within(ids[at], sides[at], asks[at], sizes[at], x, labels[at], majors[at], found, len(at) - len(above))
 
-    def within(ids, sides, sizes, points, labels, seen, best, lower):
+    def within(ids, sides, asks, sizes, points, labels, majors, found, lower):
         """`lower`: how many points, from the first, have this width themselves; pairs of two wider ones come later."""
-        own = np.flatnonzero(sides == 0)
-        if not len(own):
+        own, asking = np.flatnonzero(sides == 0), np.flatnonzero(asks)
+        if not len(own) or not len(asking):
             return
         tree = CountTree(sizes[own], points[own]) if len(own) > LEAF else None
-        if tree is None:
-            live = (100 + percent) * _overlap(points[:, None, :], points[None, own, :]) >= percent * (sizes[:, None] + sizes[None, own])
-        for i in range(len(ids)):
-            found = own[np.flatnonzero(live[i])] if tree is None else own[tree.search(sizes[i], points[i], percent)]
-            found = found[(labels[found] != labels[i]) & (100 * np.minimum(sizes[found], sizes[i]) >= percent * np.maximum(sizes[found], sizes[i]))]
-            if i >= lower:
-                found = found[found < lower]
-            me, partner = int(ids[i]), ids[found]
-            if star:
-                partner = partner[partner < me]
-                if len(partner):
-                    best[me] = min(best.get(me, me), int(partner.min()))
-            else:
-                for p in partner[partner < me] if sides[i] == 0 else partner:
-                    if p != me:
-                        seen.add((min(me, int(p)), max(me, int(p))))
-
-    def flush(seen):
-        pairs = np.array(sorted(seen), np.int64).reshape(-1, 2)
-        seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        step = max(1, COMPARED // (len(own) * points.shape[1] * points.itemsize))
+        for start in range(0, len(asking), step):
+            some = asking[start : start + step]
+            if tree is None:
+                bound = _overlap(points[some, None, :], points[None, own, :])
+            for k, i in enumerate(some.tolist()):
+                if tree is None:
+                    near, over = own, bound[k]
+                else:
+                    near = own[tree.search(sizes[i], points[i], percent)]
+                    over = _overlap(points[near], points[i])
+                low, high = np.minimum(sizes[near], sizes[i]), np.maximum(sizes[near], sizes[i])
+                good = ((100 + percent) * over >= percent * (low + high)) & (labels[near] != labels[i]) & (100 * low >= percent * high)
+                if i >= lower:
+                    good &= near < lower
+                if partners == "all":
+                    good &= majors[near] | (ids[i] < ids[near])
+                if good.any():
+                    over, total = np.minimum(over, low)[good], (low + high)[good]
+                    near = near[good]
+                    keep(int(ids[i]), ids[near], labels[near], 20 * over // (total - over), found)
+
+    def keep(me, others, labels, scores, found):
+        if partners == "all":
+            found.update(dict.fromkeys(((me, o) for o in others.tolist()), (0, 0)))
+            return
+        if partners == "one":
+            labels = np.zeros(len(others), np.int64)
+        order = np.lexsort((others, -scores, labels))
+        _, firsts = np.unique(labels[order], return_index=True)
+        for k in order[firsts].tolist():
+            mine = (me, int(labels[k]))
+            found[mine] = max(found.get(mine, (-1, 0)), (int(scores[k]), -int(others[k])))
+
+    def flush(found):
+        rows = [(a, b, 0, 0) for a, b in found] if partners == "all" else [(a, -other, label, score) for (a, label), (score, other) in found.items()]
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["id", "other", "label", "score"])
 
     def run(batches):
-        held, seen = None, set()
+        held, found = None, {}
 
         def blocks(t, last):
             keys = t.column("key").to_numpy()
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             stop = len(keys) if last else (cuts[-1] if len(cuts) else 0)
             if stop:
-                ids, sides, sizes, labels = (t.column(c).to_numpy()[:stop] for c in ("id", "side", "n", "label"))
+                ids, sides, asks, sizes, labels, majors = (t.column(c).to_numpy()[:stop] for c in ("id", "side", "ask", "n", "label", "major"))
                 points = t.column("point").slice(0, stop).to_pylist()
                 edges = [0, *cuts[cuts < stop].tolist(), stop]
                 for a, b in zip(edges[:-1], edges[1:]):
                     if b - a > 1:
-                        one(ids[a:b], sides[a:b], sizes[a:b], points[a:b], labels[a:b], seen)
+                        one(ids[a:b], sides[a:b], asks[a:b], sizes[a:b], points[a:b], labels[a:b], majors[a:b], found)
             return t.slice(stop)
 
         for batch in batches:
@@ -313,14 +346,14 @@ def _block_pairs(percent: int, star: bool):
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
             held = blocks(held.combine_chunks(), False)
-            if len(seen) > 200_000:
-                yield flush(seen)
+            if len(found) > 200_000:
+                yield flush(found)
         if held is not None and held.num_rows:
             blocks(held.combine_chunks(), True)
-        if seen:
-            yield flush(seen)
+        if found:
+            yield flush(found)
 
-    return run
+    return lean(run)
 
 
 def _verified(n: int, percent: int):
@@ -351,51 +384,85 @@ def _verified(n: int, percent: int):
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return run
+    return lean(run)
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) that verification on whole texts keeps. A centre with many partners is dealt over several tasks."""
-    pairs = stored(pairs.distinct(), "pairs")
-    only = _id_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    pairs = stored(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
+    count = pairs.count()
+    if not count:
+        return pairs
+    only = _id_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), 2 * count)
     docs = docs.mapInArrow(lambda batches: _among(batches, "doc_id", only), "doc_id long, text string")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CENTRE_ROWS).cast("int").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
     wanted = dealt.select("a", "salt", "b", F.col("b").alias("doc_id")).union(dealt.select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id")).distinct())
     rows = wanted.join(docs, "doc_id").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return stored(rows.mapInArrow(_verified(n, percent), "a long, b long").distinct(), "links")
+    links = stored(rows.mapInArrow(_verified(n, percent), "a long, b long").distinct(), "links")
+    discard(pairs)
+    return links
+
+
+def _with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """`rows` (key, id, ..) with the columns of `facts` (one row a key). A frequent key's rows stay dealt out by their salts."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    dealt = rows.select(key, "salt").distinct().join(facts, key)
+    return rows.join(dealt, [key, "salt"]).drop("salt")
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """(token, id, m): blocks of the nodes that share a prefix token, with their number.
+    """(block, id): blocks of the nodes that share a prefix token.
 
     Tokens that the same nodes share make one block: its name is a digest of its members. Should two
     sets of members have one digest, their blocks unite and no pair is lost.
     """
-    w = Window.partitionBy("token")
-    posts = nodes.where(F.size("prefix") > 0).select("id", F.explode("prefix").alias("token")).withColumn("m", F.count("*").over(w)).withColumn("members", F.bit_xor(F.xxhash64("id")).over(w))
-    return stored(posts.where("m > 1").select(F.xxhash64("members", "m").alias("token"), "id", "m").distinct(), "shared")
+    posts = nodes.where(F.size("prefix") > 0).select("id", F.explode("prefix").alias("token"))
+    facts = posts.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("members")).where("m > 1")
+    named = _with_facts(posts, facts.select("token", F.xxhash64("members", "m").alias("block")), "token")
+    return stored(named.select("block", "id").distinct(), "shared")
 
 
-def _candidates(shared: DataFrame, nodes: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, that survive the trees of the blocks; may repeat. Blocks over BLOCK_POINTS are dealt out as pairs of parts.
+_PAIRS = "id long, other long, label long, score long"
 
-    Without labels each point yields its smallest partner; with labels, all partners of another label.
-    """
-    point = nodes.select("id", "n", "point")
-    if labels is not None:
-        point = point.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        w = Window.partitionBy("token")
-        shared = shared.join(point.select("id", "label").distinct(), "id")
-        shared = shared.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi").select("token", "id", "m")
-    else:
-        point = point.withColumn("label", F.col("id"))
+
+def _met(rows: DataFrame, nodes: DataFrame, percent: int, partners: str) -> DataFrame:
+    """Pairs of rows (block, cell, side, ask, id, label, major) that meet in a cell of a block and survive its tree."""
+    rows = rows.select(F.xxhash64("block", "cell").alias("key"), "side", "ask", "id", "label", "major").join(nodes.select("id", "n", "point"), "id")
+    rows = rows.repartition("key").sortWithinPartitions("key")
+    pairs = rows.mapInArrow(_block_pairs(percent, partners), _PAIRS)
+    if partners == "all":
+        return pairs
+    best = F.max(F.struct("score", (-F.col("other")).alias("other"))).alias("best")
+    return pairs.groupBy("id", "label").agg(best).select("id", (-F.col("best.other")).alias("other"))
+
+
+def _first_pairs(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Each node's likeliest partner in the first and the last of its blocks, by name; near copies mostly agree on these."""
+    two = shared.groupBy("id").agg(F.min("block").alias("x"), F.max("block").alias("y"))
+    rows = two.select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    rows = _with_facts(rows, rows.groupBy("block").agg(F.count("*").alias("m")).where("m > 1"), "block")
+    parts = F.ceil(F.col("m") / BLOCK_POINTS).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    hub = (parts > 1) & (F.pmod(F.xxhash64("id", F.lit("hub")), F.col("m")) < HUBS)
+    # a hub is a point of every part and asks in its own
+    rows = rows.withColumn("cell", F.explode(F.when(hub, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))))
+    rows = rows.select("block", "cell", F.lit(0).alias("side"), (F.col("cell") == own).alias("ask"), "id", F.col("id").alias("label"), F.lit(False).alias("major"))
+    return _met(rows, nodes, percent, "one")
+
+
+def _later_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, partners: str) -> DataFrame:
+    """Pairs across groups in blocks that hold several: asked by all nodes but those of the block's largest group."""
+    told = shared.join(labels, "id", "left").select("block", "id", F.coalesce("label", "id").alias("label"))
+    counts = told.groupBy("block", "label").agg(F.count("*").alias("c"))
+    facts = counts.groupBy("block").agg(F.max(F.struct("c", (-F.col("label")).alias("l"))).alias("top"), F.count("*").alias("groups"), F.sum("c").alias("m")).where("groups > 1")
+    rows = _with_facts(told, facts.select("block", (-F.col("top.l")).alias("top"), "m"), "block")
     parts = F.ceil(F.col("m") / BLOCK_POINTS).cast("int")
-    mine = F.pmod(F.xxhash64("id"), parts).cast("int")
-    others = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, mine).alias("x"), F.greatest(p, mine).alias("y")))
-    rows = shared.withColumn("cell", F.explode(others)).withColumn("side", F.when(mine == F.col("cell.x"), 0).otherwise(1))
-    rows = rows.select(F.xxhash64("token", "cell.x", "cell.y").alias("key"), "side", "id").join(point, "id")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_block_pairs(percent, labels is None), "a long, b long")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    major = F.col("label") == F.col("top")
+    cells = F.when(~major, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
+    rows = rows.withColumn("cell", F.explode(cells)).withColumn("side", F.when(F.col("cell") == own, 0).otherwise(1))
+    return _met(rows.select("block", "cell", "side", (~major).alias("ask"), "id", "label", major.alias("major")), nodes, percent, partners)
 
 
 def jaccard_groups(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -415,14 +482,23 @@ def jaccard_groups(documents: DataFrame, n: int = 3, percent: int = 90) -> DataF
     nodes = stored(nodes, "nodes")
     reps = nodes.select("h1", "h2", F.col("id").alias("rep"))
     rows = stored(told.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(reps, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "rows")
+    discard(told)
     repeated = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
-    same = stored(rows.join(repeated, "doc_id").select("a", F.col("rep").alias("b")), "same")
+    links = stored(rows.join(repeated, "doc_id").select("a", F.col("rep").alias("b")), "same")
 
     shared = _shared(nodes)
-    links = _linked(docs, _candidates(shared, nodes, None, percent), n, percent).union(same)
-    labels = components(links)
-    more = _linked(docs, _candidates(shared, nodes, labels, percent), n, percent)
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    used = [links]
+    rounds = (lambda _: _first_pairs(shared, nodes, percent), lambda g: _later_pairs(shared, nodes, g, percent, "each"), lambda g: _later_pairs(shared, nodes, g, percent, "all"))
+    labels = None
+    for pairs in rounds:
+        more = _linked(docs, pairs(labels), n, percent)
+        used.append(more)
+        if labels is not None and not more.limit(1).count():
+            continue
+        links = links.union(more)
+        if labels is not None:
+            discard(labels)
+        labels = components(links)
+    discard(nodes, shared, *used)
     out = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).alias("component_id"))

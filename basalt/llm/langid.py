@@ -3,7 +3,8 @@
 Character trigram models give each run of a few words a likelihood under each language. For each
 document, expectation-maximisation estimates the proportions of the languages among its runs; the
 set of languages is chosen by likelihood less a penalty for each language (BIC). All documents of
-a slice go through the iterations together.
+a slice go through the iterations together. The mixture's likelihood against that of a background,
+in which all trigrams are alike, tells whether a text is in any learned language at all.
 """
 
 from __future__ import annotations
@@ -14,18 +15,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import bounded_sample, coded, expand, hashed_ngrams, segment_sums, slices, split_words, texts
+from .text import bounded_sample, coded, expand, hashed_ngrams, lean, segment_sums, slices, split_words, texts
 
-#: Bounds of the labelled sample: rows of each language, characters in all, languages.
+#: Bounds of the labelled sample: rows of each language, characters in all; languages (more are an error).
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 8_000_000
-LANGUAGES = 200
+LANGUAGES = 1000
+#: Nats by which the background must be likelier than the best mixture for a text to be in no learned language.
+FOREIGN = 10.0
 BUCKETS = 1 << 16
 #: Words in a run, the least number of languages from which elimination starts, rounds of expectation-maximisation.
 RUN = 8
 START = 4
 ROUNDS = 8
 UNKNOWN = "und"
+#: A word of letters, with marks and punctuation around and within.
+SPOKEN = r"^[\pP]*\pL[\pL\pM'’-]*[\pP]*$"
 
 
 class LanguageModels:
@@ -38,11 +43,11 @@ class LanguageModels:
 
 def fit_languages(labelled: DataFrame) -> LanguageModels:
     """Counts trigrams of a bounded sample of rows (doc_id, text, lang) with a non-null lang."""
-    rows = bounded_sample(labelled.where("lang is not null").select("doc_id", "text", "lang"), SAMPLE_ROWS, SAMPLE_CHARS, per="lang")
+    rows = bounded_sample(labelled.where("lang is not null").select("doc_id", "text", "lang"), SAMPLE_ROWS, SAMPLE_CHARS, per="lang", most_kinds=LANGUAGES)
     by: dict[str, list[str]] = {}
     for r in rows:
         by.setdefault(r.lang, []).append(r.text)
-    names = sorted(sorted(by, key=lambda k: (-len(by[k]), k))[:LANGUAGES])
+    names = sorted(by)
     counts = np.zeros((BUCKETS, len(names)))
     for k, name in enumerate(names):
         flat, _ = split_words(pc.utf8_lower(pa.array(by[name], pa.string())), lower=False)
@@ -97,14 +102,14 @@ def _mixtures(runs: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return chosen, n
 
 
-def infer(array: pa.Array, models: LanguageModels) -> tuple[list[str], np.ndarray, list[dict[str, float]]]:
-    """The main language, its share, and all chosen languages with their shares, for each text."""
+def weighed(array: pa.Array, models: LanguageModels) -> tuple[list[str], np.ndarray, list[dict[str, float]], np.ndarray]:
+    """The main language, its share, all chosen languages with their shares, and the evidence for them against the background, for each text."""
     names = np.array(models.names, object)
     letters = pc.match_substring_regex(array, r"\p{L}").to_numpy(zero_copy_only=False)
     flat, offsets = split_words(pc.utf8_lower(array), lower=False)
     codes, words = coded(flat)
     if not len(names) or not len(codes):
-        return [UNKNOWN] * len(array), np.zeros(len(array)), [{}] * len(array)
+        return [UNKNOWN] * len(array), np.zeros(len(array)), [{}] * len(array), np.zeros(len(array))
     features, of = hashed_ngrams(words, (3,), BUCKETS, whole=False)
     by_word = segment_sums(models.logs[features], of).astype(np.float32)
     sizes = np.diff(offsets)
@@ -113,13 +118,27 @@ def infer(array: pa.Array, models: LanguageModels) -> tuple[list[str], np.ndarra
     within = np.arange(len(codes)) - np.repeat(offsets[:-1], sizes)
     starts = np.flatnonzero(within % RUN == 0)
     runs = np.add.reduceat(by_word[codes], starts, axis=0)
-    pi, n = _mixtures(runs.astype(np.float64), run_offsets)
+    runs = runs.astype(np.float64)
+    pi, n = _mixtures(runs, run_offsets)
+    # numbers, addresses and the like are in no language: words of letters alone give the evidence
+    spoken = pc.match_substring_regex(pa.array(words, pa.string()), SPOKEN).to_numpy(zero_copy_only=False)
+    by_word *= spoken[:, None]
+    said = np.add.reduceat(by_word[codes], starts, axis=0).astype(np.float64)
+    likeliest = said.max(1)
+    mixed = (np.exp(said - likeliest[:, None]) * pi[np.repeat(np.arange(len(n)), n)]).sum(1)
+    grams = segment_sums((np.diff(of) * spoken)[codes], offsets)
+    evidence = segment_sums(np.log(np.maximum(mixed, 1e-300)) + likeliest, run_offsets) + grams * np.log(BUCKETS)
     top = pi.argmax(1)
     known = letters & (n > 0)
     langs = [names[t] if ok else UNKNOWN for t, ok in zip(top, known)]
     shares = np.where(known, pi[np.arange(len(pi)), top], 0.0)
     sets = [{names[j]: float(row[j]) for j in np.flatnonzero(row > 0)} if ok else {} for row, ok in zip(pi, known)]
-    return langs, np.clip(shares, 0, 1), sets
+    return langs, np.clip(shares, 0, 1), sets, evidence
+
+
+def infer(array: pa.Array, models: LanguageModels) -> tuple[list[str], np.ndarray, list[dict[str, float]]]:
+    """The main language, its share, and all chosen languages with their shares, for each text."""
+    return weighed(array, models)[:3]
 
 
 def identify(documents: DataFrame, models: LanguageModels) -> DataFrame:
@@ -136,4 +155,4 @@ def identify(documents: DataFrame, models: LanguageModels) -> DataFrame:
             kinds = pa.map_(pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(shares, pa.float64()), pa.array([list(s.items()) for s in sets], kinds)], names=["doc_id", "lang_pred", "score", "shares"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, shares map<string,double>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double, shares map<string,double>")

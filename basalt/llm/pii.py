@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import slices, texts
+from .text import lean, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of the longest entity, features of the hashed table, code points kept around an anchor.
@@ -302,7 +302,7 @@ def personal_spans(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([row(b) for b, _ in found], kind), pa.array([row(s) for _, s in found], kind)], names=["doc_id", "base", "found"])
 
     spans = "array<struct<kind:string,start:long,end:long>>"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, base {spans}, found {spans}")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), f"doc_id long, base {spans}, found {spans}")
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -331,4 +331,4 @@ def redacted(documents: DataFrame) -> DataFrame:
             n = [old if t is None else len(t) for t, old in zip(out, batch.column("n_chars").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string()), batch.column("lang"), batch.column("source"), pa.array(n, pa.int64())], names=columns)
 
-    return documents.select(*(F.col(c).cast("long").alias(c) if c in ("doc_id", "n_chars") else c for c in columns)).mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+    return documents.select(*(F.col(c).cast("long").alias(c) if c in ("doc_id", "n_chars") else c for c in columns)).mapInArrow(lean(run), "doc_id long, text string, lang string, source string, n_chars long")

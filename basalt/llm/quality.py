@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import bounded_sample, coded, hashed_ngrams, segment_sums, slices, split_words, texts
+from .text import bounded_sample, coded, hashed_ngrams, lean, segment_sums, slices, split_words, texts
 
 #: Bounds of the labelled sample that training sees; the driver holds it.
 SAMPLE_ROWS = 4000
@@ -122,4 +122,4 @@ def quality_scores(documents: DataFrame, model: tuple[np.ndarray, float]) -> Dat
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_texts(texts(batch), table, bias), pa.float64())], names=["doc_id", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, score double")

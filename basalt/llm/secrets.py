@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import slices, texts
+from .text import lean, slices, texts
 
 _parse = re._parser.parse  # the standard library's own regex parser
 
@@ -198,4 +198,4 @@ def secret_spans(documents: DataFrame) -> DataFrame:
             rows = [[{"kind": k, "start": a, "end": b} for k, a, b in spans] for spans in _scanner().scan(texts(batch))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], names=["doc_id", "found"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, found array<struct<kind:string,start:long,end:long>>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, found array<struct<kind:string,start:long,end:long>>")

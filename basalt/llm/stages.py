@@ -14,13 +14,15 @@ def _same_row(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: null texts, texts without a letter.
+    """Documents in no learned language go: null texts, texts without a letter, and texts that a background in
+    which all trigrams are alike explains clearly better (langid.FOREIGN) than the best mixture of languages.
 
-    The models learn from the documents' own lang column. Proportions, set and likelihood decide
-    nothing here: any text with a letter stays, and lang of a kept document is as it was.
+    The models learn from the documents' own lang column; without any label only the first two go. A kept
+    document without a lang gets its main language; one with a lang keeps it. An empty table gives none,
+    repeated rows are judged alike, a null doc_id is kept, columns other than those of documents are left out.
     """
-    from .langid import UNKNOWN, fit_languages, infer
-    from .text import slices, texts
+    from .langid import FOREIGN, UNKNOWN, fit_languages, weighed
+    from .text import lean, slices, texts
 
     models = fit_languages(docs.select("doc_id", "text", "lang"))
     if not models.names:
@@ -28,13 +30,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in slices(batches):
-            langs, _, _ = infer(texts(batch), models)
-            yield batch.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+            langs, _, _, evidence = weighed(texts(batch), models)
+            told = pc.coalesce(batch.column("lang"), pa.array(langs, pa.string()))
+            batch = batch.set_column(COLUMNS.index("lang"), "lang", told)
+            yield batch.filter(pa.array([x != UNKNOWN and e >= -FOREIGN for x, e in zip(langs, evidence)], pa.bool_()))
 
     kept = docs.select(*COLUMNS)
-    return kept.mapInArrow(run, kept.schema)
+    return kept.mapInArrow(lean(run), kept.schema)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +47,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Five words and a similarity of 0.8. Rows are grouped by their texts, each under a number of its
     own, so rows without a doc_id and rows that repeat one are compared like all others. Documents
-    without words are in no group and stay, equal ones of one doc_id once.
+    without words are in no group and stay, equal ones of one doc_id once. An empty table gives none.
     """
     from .jaccard import jaccard_groups
     from .text import stored
@@ -58,7 +63,11 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go, re-parameterised ones as well."""
+    """Documents that hold a benchmark item go, re-parameterised ones as well.
+
+    Rows of one doc_id, or without one, are told apart by their text. Null and empty texts hold nothing and stay,
+    repeated rows stay or go together, an empty table on either side is no error.
+    """
     from .decontam import contaminated
 
     hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("hit_id"), F.col("key").alias("row_key")).distinct()
@@ -67,14 +76,20 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind in brackets; all documents stay."""
+    """Personal data in the texts is replaced by its kind in brackets; all documents stay.
+
+    Null texts stay null, repeated rows repeat, a null doc_id is kept, an empty table gives none.
+    """
     from .pii import redacted
 
     return redacted(docs)
 
 
 def bpe_codec(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each kept document, with the digests of the round trip."""
+    """The token ids of each kept document, with the digests of the round trip.
+
+    A null text counts as empty: no tokens. Repeated rows repeat, an empty table gives none.
+    """
     from .bpe import bpe_round_trip
     from .queries import _vocabulary
 

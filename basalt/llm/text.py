@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are turned into per-word arrays at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -32,6 +32,30 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[
             start = stop
 
 
+def lean(run):
+    """The Arrow mapper `run`, after which its worker gives freed memory back: workers live on between tasks and stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Returns unused memory of Arrow's pool and of the C library to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The column with null as the empty text."""
     return pc.fill_null(batch.column(column), "")
@@ -80,9 +104,11 @@ def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; a cluster is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="basalt-checkpoint-")
@@ -100,7 +126,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() returned; nothing that is still to be computed may read them."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -139,12 +175,14 @@ def hashed_ngrams(words: list[str], sizes: tuple[int, ...], buckets: int, whole:
     return flat, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(words)))])
 
 
-def bounded_sample(rows: DataFrame, most_rows: int, most_chars: int, per: str | None = None, members: DataFrame | None = None) -> list:
+def bounded_sample(rows: DataFrame, most_rows: int, most_chars: int, per: str | None = None, most_kinds: int = 1, members: DataFrame | None = None) -> list:
     """At most `most_rows` rows (for each value of `per`) of (doc_id, text, ...) and `most_chars` characters in all.
 
     `members`, a table with doc_id, restricts and widens the rows; only ids and lengths meet it before the choice.
+    More than `most_kinds` values of `per` are an error: none is left out silently.
 
     The choice follows the hash of doc_id alone, so it does not depend on the layout of the input.
+    Rows of a frequent value are thinned by that hash before they are ranked: no task ranks them all.
     """
     import hashlib
 
@@ -153,10 +191,20 @@ def bounded_sample(rows: DataFrame, most_rows: int, most_chars: int, per: str |
 
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     rows = rows.where("text is not null")
+    spark = rows.sparkSession
     if per:
-        lengths = rows.select("doc_id", per, F.length("text").alias("n"))
+        counts = rows.groupBy(per).count().limit(most_kinds + 1).collect()
+        if len(counts) > most_kinds:
+            raise ValueError(f"more than {most_kinds} values of {per}")
+        if not counts:
+            return []
+        # twice the rows wanted, or all of them; a repeated id shares its hash, so a few more rows are let through
+        shares = spark.createDataFrame([(r[per], min(1.0, 2 * (most_rows + 20) / r["count"])) for r in counts], f"{per} string, _share double")
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+        some = rows.join(F.broadcast(shares), per).where(place < F.col("_share"))  # most_kinds rows at most
+        lengths = some.select("doc_id", per, F.length("text").alias("n"))
         lengths = lengths.withColumn("_nth", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("_nth") <= most_rows)
-        sizes = lengths.orderBy("_nth", *order).limit(most_rows * 256).collect()
+        sizes = lengths.orderBy("_nth", *order).collect()
     else:
         sizes = rows.select("doc_id", F.length("text").alias("n"))
         sizes = sizes if members is None else sizes.join(members.select("doc_id"), "doc_id", "left_semi")
@@ -168,7 +216,6 @@ def bounded_sample(rows: DataFrame, most_rows: int, most_chars: int, per: str |
             left -= r.n
     if not ids:
         return []
-    spark = rows.sparkSession
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in sorted(x for x in ids if x is not None)], "doc_id long"))
     out = rows.join(chosen, "doc_id")
     out = (out if members is None else out.join(F.broadcast(members.join(chosen, "doc_id")), "doc_id")).collect()
