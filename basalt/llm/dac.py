@@ -2,14 +2,14 @@
 
 Ids are cut into chunks of 8 bits. Level 0 holds each id's lowest chunk; a bitmap marks the ids
 that go on, and level 1 holds the next chunk of those alone, and so on. A rank directory (ones
-before every 512 bits of a bitmap) finds an id's place on the next level, so any token is read
-without decoding a block.
+before every 512 bits of a bitmap, and since then before every 64) finds an id's place on the next
+level with one more count over a word, so any token is read without decoding a block.
 
-File: magic `DAC1`, then as little-endian u64 the count of ids, the count of documents and the
+File: magic `DAC2`, then as little-endian u64 the count of ids, the count of documents and the
 count of levels; documents' ids (i64) and start offsets (u64, one more than documents); then for
-each level its length (u64), its chunk bytes, its continuation bitmap (bit i of byte i // 8,
-lowest first) and its rank directory (u64). Files are rows (part, seq, payload) of a Parquet
-table, so that any store that Spark writes to can hold them.
+each level its length (u64), its continuation bitmap in 64-bit words (bit i % 64 of word i // 64,
+lowest first), its rank directories (u64 a block, u16 a word) and its chunk bytes. Files are rows
+(part, seq, payload) of an uncompressed Parquet table, so that any store that Spark writes to can hold them.
 """
 
 from __future__ import annotations
@@ -20,24 +20,22 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import ChunkGather
-from .text import expand, lean, slices, stored, texts
+from .text import lean, slices, stored, texts
 
-MAGIC = b"DAC1"
-BITS = 512
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+MAGIC = b"DAC2"
+#: Bits of a word, and words of a block, of the rank directories.
+WORD, BLOCK = 64, 8
 
 
 class DirectCodes:
-    """Ids in chunk levels with continuation bitmaps and rank directories."""
+    """Ids in chunk levels with continuation bitmaps and rank directories: (chunks, words, ones before each block, ones before each word in its block)."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], count: int):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], count: int):
         self.levels, self.count = levels, count
 
     @classmethod
@@ -45,25 +43,14 @@ class DirectCodes:
         rest, levels = np.asarray(ids, np.uint32), []
         while True:
             more = rest > 255
-            bitmap = np.packbits(more, bitorder="little")
-            ones = np.add.reduceat(_ONES[bitmap], np.arange(0, len(bitmap), BITS // 8), dtype=np.uint64) if len(bitmap) else np.empty(0, np.uint64)
-            levels.append((rest.astype(np.uint8), bitmap, np.concatenate([np.zeros(1, np.uint64), np.cumsum(ones, dtype=np.uint64)])[: max(len(ones), 1)]))
+            words = np.packbits(np.pad(more, (0, -len(more) % WORD)), bitorder="little").view("<u8")
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.uint64)])[: len(words)].astype(np.uint64)
+            blocks = before[::BLOCK].copy()
+            levels.append((rest.astype(np.uint8), words, blocks, (before - np.repeat(blocks, BLOCK)[: len(words)]).astype("<u2")))
             if not more.any():
                 return cls(levels, len(ids))
             rest = rest[more] >> np.uint32(8)
 
-    def _ranks(self, level: int, at: np.ndarray) -> np.ndarray:
-        """Ones before each position: a directory entry, and the bits since."""
-        _, bitmap, directory = self.levels[level]
-        block = at // BITS
-        first = block * (BITS // 8)
-        window = first[:, None] + np.arange(BITS // 8)
-        data = bitmap[np.minimum(window, len(bitmap) - 1)]
-        inside = at - block * BITS
-        whole = np.arange(BITS // 8) < (inside // 8)[:, None]
-        partial = bitmap[at // 8] & ((1 << (inside % 8)) - 1).astype(np.uint8)
-        return directory[block].astype(np.int64) + (_ONES[data] * whole).sum(1, dtype=np.int64) + _ONES[partial].astype(np.int64)
-
     def access(self, positions) -> np.ndarray:
         """The ids at any positions, each in one step a level."""
         at = np.asarray(positions, np.int64)
@@ -71,29 +58,26 @@ class DirectCodes:
             raise IndexError("no such token")
         out = np.zeros(len(at), np.uint32)
         live = np.arange(len(at))
-        for k, (chunks, bitmap, _) in enumerate(self.levels):
+        for k, (chunks, words, blocks, inner) in enumerate(self.levels):
             out[live] |= chunks[at].astype(np.uint32) << np.uint32(8 * k)
-            more = (bitmap[at // 8] >> (at % 8).astype(np.uint8)) & 1 == 1
-            live, at = live[more], at[more]
-            if not len(live):
+            word, bit = at // WORD, (at % WORD).astype(np.uint64)
+            own = words[word]
+            more = np.flatnonzero(own >> bit & np.uint64(1))
+            if not len(more):
                 break
-            at = self._ranks(k, at)
+            live, word = live[more], word[more]
+            below = np.bitwise_count(own[more] & ((np.uint64(1) << bit[more]) - np.uint64(1)))
+            at = blocks[word // BLOCK].astype(np.int64) + inner[word] + below
         return out
 
     def all(self) -> np.ndarray:
         """All ids in order."""
-        out = None
-        for chunks, bitmap, _ in reversed(self.levels):
-            ids = chunks.astype(np.uint32)
-            if out is not None:
-                ids[np.unpackbits(bitmap, count=len(chunks), bitorder="little").view(bool)] |= out << np.uint32(8)
-            out = ids
-        return out
+        return self.access(np.arange(self.count))
 
     def to_bytes(self) -> bytes:
         parts = []
-        for chunks, bitmap, directory in self.levels:
-            parts += [struct.pack("<Q", len(chunks)), chunks.tobytes(), bitmap.tobytes(), directory.astype("<u8").tobytes()]
+        for chunks, words, blocks, inner in self.levels:
+            parts += [struct.pack("<Q", len(chunks)), words.tobytes(), blocks.astype("<u8").tobytes(), inner.tobytes(), chunks.tobytes()]
         return b"".join(parts)
 
     @classmethod
@@ -101,13 +85,11 @@ class DirectCodes:
         at, out = 0, []
         for _ in range(levels):
             (n,) = struct.unpack_from("<Q", data, at)
-            at += 8
-            bits, ranks = (n + 7) // 8, max(((n + 7) // 8 + BITS // 8 - 1) // (BITS // 8), 1)
-            chunks = np.frombuffer(data, np.uint8, n, at)
-            bitmap = np.frombuffer(data, np.uint8, bits, at + n)
-            directory = np.frombuffer(data, "<u8", ranks, at + n + bits)
-            at += n + bits + 8 * ranks
-            out.append((chunks, bitmap, directory))
+            w = -(-n // WORD)
+            b = -(-w // BLOCK)
+            cuts = np.cumsum([at + 8, 8 * w, 8 * b, 2 * w]).tolist()
+            out.append((np.frombuffer(data, np.uint8, n, cuts[3]), np.frombuffer(data, "<u8", w, cuts[0]), np.frombuffer(data, "<u8", b, cuts[1]), np.frombuffer(data, "<u2", w, cuts[2])))
+            at = cuts[3] + n
         return cls(out, count)
 
 
@@ -126,54 +108,42 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, DirectCodes]:
     return ids, starts, DirectCodes.from_bytes(memoryview(payload)[28 + 8 * (2 * docs + 1) :], count, levels)
 
 
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 700_000
+#: Code points of texts that go to the library at once: its results are many times larger.
+CALL_CHARS = 400_000
 
-_GATHER: dict[str, ChunkGather] = {}
+_LOADED: dict[str, object] = {}
 
 
-def library_encoder(path: str) -> ChunkGather:
-    """Encodes texts with the tokenizers library, each distinct chunk once; one for each vocabulary in a worker."""
-    if path not in _GATHER:
+def library_encoder(path: str):
+    """A function texts -> (all ids, offsets of each text) that gives whole texts to the tokenizers library; one for each vocabulary in a worker."""
+    if path not in _LOADED:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_padding()
         tokenizer.no_truncation()
-        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-
-        width = np.zeros(tokenizer.get_vocab_size(), np.int64)
-        for token, i in tokenizer.get_vocab().items():
-            width[i] = len(token)  # a letter of the vocabulary stands for a byte
-
-        def ids_of(texts: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-        def encode(chunks: list[str]):
-            """Chunks that start at a lone space go to the library joined, and are told apart by their tokens' bytes."""
-            joins = np.array([len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() for c in chunks], bool)
-            counts = np.zeros(len(chunks), np.int64)
-            easy, rest = np.flatnonzero(joins), np.flatnonzero(~joins)
-            flat = [np.empty(0, np.uint32)]
-            for at in range(0, len(easy), 16384):
-                own = [chunks[i] for i in easy[at : at + 16384].tolist()]
-                lists = ids_of(["".join(own[k : k + 256]) for k in range(0, len(own), 256)])
-                ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, sum(map(len, lists)))
-                ends = np.cumsum(pc.binary_length(pa.array(own)).to_numpy(zero_copy_only=False), dtype=np.int64)
-                counts[easy[at : at + 16384]] = np.diff(np.searchsorted(np.cumsum(width[ids]), ends, "right"), prepend=0)
-                flat.append(ids)
-            lists = ids_of([chunks[i] for i in rest.tolist()])
-            counts[rest] = [len(x) for x in lists]
-            flat.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(counts[rest].sum())))
-            ids = np.concatenate(flat)
-            order = np.concatenate([easy, rest])
-            starts = np.cumsum(counts[order]) - counts[order]
-            back = np.empty(len(chunks), np.int64)
-            back[order] = starts
-            return ids[expand(back, counts)], counts
-
-        _GATHER[path] = ChunkGather(encode, special, REMEMBERED)
-    return _GATHER[path]
+        _LOADED[path] = tokenizer
+    tokenizer = _LOADED[path]
+
+    def encode(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts, counts, call, size = [np.empty(0, np.uint32)], [], [], 0
+
+        def flush():
+            lists = [e.ids for e in tokenizer.encode_batch_fast(call, add_special_tokens=False)]
+            counts.extend(map(len, lists))
+            parts.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint32, sum(map(len, lists))))
+
+        for text in array.to_pylist():
+            call.append(text)
+            size += len(text)
+            if size >= CALL_CHARS:
+                flush()
+                call, size = [], 0
+        if call:
+            flush()
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+    return encode
 
 
 NULL_DOC = -(2**63)
@@ -202,7 +172,7 @@ def write_codes(documents: DataFrame, path: str, end_id: int | None = 0) -> Data
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # range bounds over the ids alone; equal ids stay together and are ordered by text
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(dealt.mapInArrow(lean(run), "part int, seq int, n_tokens long, payload binary"), "token-files")
+    return stored(dealt.mapInArrow(lean(run), "part int, seq int, n_tokens long, payload binary"), "token-files", "uncompressed")
 
 
 def file_starts(files: DataFrame) -> DataFrame:
@@ -222,8 +192,8 @@ def read_codes(files: DataFrame) -> DataFrame:
         for batch in batches:
             for part, seq, payload in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("payload")):
                 docs, starts, codes = unpack(payload.as_buffer().to_pybytes())
-                raw = memoryview(codes.all().astype("<u4").view(np.uint8))
-                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+                # each document's ids by their own places
+                sums = [zlib.crc32(codes.access(np.arange(a, b)).astype("<u4")) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
                 n = len(docs)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(docs, mask=docs == NULL_DOC), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(sums, pa.int64())],
