@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import coded, lean, slices, split_words, stored, texts
+from .text import bitmap, coded, lean, slices, split_words, stored, texts
 
 #: Tokens in a window, share of an item's words that must be covered, literal tokens that a template window must hold.
 WINDOW = 8
@@ -318,15 +318,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, covered: float = CO
     """
     spark = documents.sparkSession
     items = stored(benchmark.select(F.col("item_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("key")).mapInArrow(lean(_item_windows), _WINDOWS).distinct(), "items")
-    bits = np.zeros(1 << BITMAP_BITS, np.uint8)
-    buckets = items.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("k")).distinct()
-    for (k,) in buckets.toLocalIterator():  # at most 2**BITMAP_BITS numbers, whatever the benchmark's size
-        bits[k] = 1
+    bits = bitmap(items.select(F.shiftrightunsigned("h", 64 - BITMAP_BITS).alias("k")), BITMAP_BITS)
     sizes = sorted(tuple(r) for r in items.select("exact", "size").distinct().collect())  # at most twice WINDOW
     if not sizes:
         return spark.createDataFrame([], "doc_id long, key long, item_id long, coverage double, reparameterised boolean")
     docs = documents.select(F.col("doc_id").cast("long").alias("id"), "text", F.xxhash64("text").alias("key"))
-    found = docs.mapInArrow(_document_windows(sizes, np.packbits(bits).tobytes()), _WINDOWS)
+    found = docs.mapInArrow(_document_windows(sizes, bits), _WINDOWS)
     item = items.select("h", F.col("id").alias("item_id"), F.col("key").alias("item_key"), F.col("at").alias("item_at"), "tokens", F.col("lens").alias("item_lens"), F.col("slots").alias("item_slots"))
     both = found.select("h", F.col("id").alias("doc_id"), "key", "at", "lens", "slots").join(item, "h").where(F.size("slots") == F.size("item_slots"))
     one = ("doc_id", "key", "item_id", "item_key", "tokens")

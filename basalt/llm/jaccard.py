@@ -14,12 +14,13 @@ over all documents for the tokens of a fixed share of the hash range, into a bit
 a counted token without its bit stands in one document only and names no block. Equal sets are one
 node.
 
-Links are found in three rounds. First each node meets only two of its blocks and its likeliest
-partner is verified. Then, in blocks that still hold several groups, each node outside a block's
-largest group gets its likeliest partner in every other group; last, all its surviving partners in
-other groups. A group of many near copies thus costs a row or two a node, not all its pairs, and
-no link between groups is lost. Blocks of many nodes are indexed in parts: in the first round a few
-nodes of the block meet all parts and tie them together, later only nodes outside the largest group do.
+Links are found in turns, over the blocks that still hold several groups. First each node meets
+only two of its blocks and its likeliest partner there is verified, again and again as long as this
+merges much. Then each node outside a block's largest group gets its likeliest partner in every
+other group; last, all its surviving partners in other groups. A group of many near copies thus
+costs a few rows a node, not all its pairs, and no link between groups is lost. Blocks of many
+nodes are indexed in parts: in the first turns a few nodes of the block meet all parts and tie them
+together, later only nodes outside the largest group do.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .text import coded, discard, lean, slices, split_words, stored, texts
+from .text import bitmap, coded, discard, lean, slices, split_words, stored, texts
 
 #: Groups of tokens: the fewest, the most that are finer than a token each, and tokens that a group of larger sets holds.
 LEAST_GROUPS = 16
@@ -49,8 +50,12 @@ MOST_ID_BITS = 26
 #: Rows compared with one centre in a task.
 CENTRE_ROWS = 512
 #: Points of a block that one task indexes at once; larger blocks are dealt out in parts. Nodes that tie parts together.
-BLOCK_POINTS = 2048
+BLOCK_POINTS = 1024
 HUBS = 32
+#: Blocks whose names a node's rows carry, at most: pairs of nodes with more come from each block and are made distinct later.
+NAMES = 256
+#: Turns of few pairs go on while one finds more than this part (one in ..) of the first one's links.
+WORTH = 20
 #: Parts into which the rows of any key are dealt where facts of the key are joined to them.
 SALTS = 16
 LEAF = 32
@@ -153,30 +158,6 @@ def _described(n: int, percent: int, shared: bytes):
     return lean(run)
 
 
-def _bitmap(numbers: DataFrame, bits: int) -> bytes:
-    """A packed bitmap of the numbers (column k, below 2**bits), united on the executors slice by slice."""
-    width = min(1 << bits, 1 << 19)
-
-    def own(batches):
-        seen = np.zeros(1 << bits, bool)
-        for b in batches:
-            seen[b.column(0).to_numpy(zero_copy_only=False)] = True
-        parts = [(i, np.packbits(seen[i * width : (i + 1) * width]).tobytes()) for i in range((1 << bits) // width) if seen[i * width : (i + 1) * width].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["slice", "bits"])
-
-    def unite(table: pa.Table) -> pa.Table:
-        out = np.zeros(width // 8, np.uint8)
-        for x in table.column("bits"):
-            out |= np.frombuffer(x.as_py(), np.uint8)
-        return pa.table([table.column("slice").slice(0, 1), pa.array([out.tobytes()], pa.binary())], names=["slice", "bits"])
-
-    rows = numbers.mapInArrow(own, "slice int, bits binary").groupBy("slice").applyInArrow(unite, "slice int, bits binary").collect()
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows:  # the bitmap itself: 2**bits / 8 bytes at most
-        out[r.slice * (width // 8) : (r.slice + 1) * (width // 8)] = np.frombuffer(r.bits, np.uint8)
-    return out.tobytes()
-
-
 def _id_bucket(ids: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return (_mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
@@ -200,7 +181,7 @@ def _id_bitmap(ids: DataFrame, count: int) -> bytes:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_id_bucket(b.column(0).to_numpy(zero_copy_only=False), bits))], names=["k"])
 
-    return _bitmap(ids.mapInArrow(buckets, "k long"), bits)
+    return bitmap(ids.mapInArrow(buckets, "k long"), bits)
 
 
 _DESCRIBED = "doc_id long, n long, h1 long, h2 long, point binary, prefix array<long>"
@@ -259,16 +240,16 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _block_pairs(percent: int, partners: str):
-    """Arrow mapper over rows (key, side, ask, id, n, point, label, major) sorted by key: pairs that survive the tree.
+    """Arrow mapper over rows (key, side, ask, id, n, point, label, major, block, names) sorted by key: pairs that survive the tree.
 
     Side 0 rows are indexed; rows that `ask` are searched for. Yields (id, other, label, score): an asking node,
     a partner of another label, the partner's label and the bound on their similarity in steps of a twentieth.
     `partners`: "one", that of the highest score, then smallest id, for each asking node; "each", the same for
-    each other label; "all", every pair once in a block. `major` marks nodes of the block's largest group, which
-    do not ask in the last two.
+    each other label; "all", every pair, in the first of the blocks that its nodes name both (`names`, ascending;
+    null names no block, and its pairs come from each). `major` marks nodes of the block's largest group: they do not ask.
     """
 
-    def one(ids, sides, asks, sizes, points, labels, majors, found):
+    def one(ids, sides, asks, sizes, points, labels, majors, names, block, found):
         # sets that may link differ by less than a factor of two: their numbers of groups are equal or neighbours
         widths = np.fromiter(map(len, points), np.int64, len(points))
         for width in np.unique(widths).tolist():
@@ -277,9 +258,9 @@ def _block_pairs(percent: int, partners: str):
             if len(above):
                 x, at = np.concatenate([x, _folded(_unpacked([points[i] for i in above]))]), np.concatenate([at, above])
             if len(at) > 1:
-                within(ids[at], sides[at], asks[at], sizes[at], x, labels[at], majors[at], found, len(at) - len(above))
+                within(ids[at], sides[at], asks[at], sizes[at], x, labels[at], majors[at], names and [names[i] for i in at], block, found, len(at) - len(above))
 
-    def within(ids, sides, asks, sizes, points, labels, majors, found, lower):
+    def within(ids, sides, asks, sizes, points, labels, majors, names, block, found, lower):
         """`lower`: how many points, from the first, have this width themselves; pairs of two wider ones come later."""
         own, asking = np.flatnonzero(sides == 0), np.flatnonzero(asks)
         if not len(own) or not len(asking):
@@ -305,8 +286,14 @@ def _block_pairs(percent: int, partners: str):
                 if good.any():
                     over, total = np.minimum(over, low)[good], (low + high)[good]
                     near = near[good]
+                    if partners == "all":
+                        first = [first_common(names[i], names[j], block) for j in near.tolist()]
+                        near, over, total = near[first], over[first], total[first]
                     keep(int(ids[i]), ids[near], labels[near], 20 * over // (total - over), found)
 
+    def first_common(a, b, block):
+        return a is None or b is None or min(set(a).intersection(b)) == block
+
     def keep(me, others, labels, scores, found):
         if partners == "all":
             found.update(dict.fromkeys(((me, o) for o in others.tolist()), (0, 0)))
@@ -334,10 +321,11 @@ def _block_pairs(percent: int, partners: str):
             if stop:
                 ids, sides, asks, sizes, labels, majors = (t.column(c).to_numpy()[:stop] for c in ("id", "side", "ask", "n", "label", "major"))
                 points = t.column("point").slice(0, stop).to_pylist()
+                blocks_of, names = t.column("block").to_numpy(), t.column("names").slice(0, stop).to_pylist() if partners == "all" else None
                 edges = [0, *cuts[cuts < stop].tolist(), stop]
                 for a, b in zip(edges[:-1], edges[1:]):
                     if b - a > 1:
-                        one(ids[a:b], sides[a:b], asks[a:b], sizes[a:b], points[a:b], labels[a:b], majors[a:b], found)
+                        one(ids[a:b], sides[a:b], asks[a:b], sizes[a:b], points[a:b], labels[a:b], majors[a:b], names and names[a:b], int(blocks_of[a]), found)
             return t.slice(stop)
 
         for batch in batches:
@@ -387,12 +375,12 @@ def _verified(n: int, percent: int):
     return lean(run)
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that verification on whole texts keeps. A centre with many partners is dealt over several tasks."""
+def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b) that verification on whole texts keeps, and the number of pairs (id, other) asked about. A centre with many partners is dealt over several tasks."""
     pairs = stored(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
     count = pairs.count()
     if not count:
-        return pairs
+        return pairs, 0
     only = _id_bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")), 2 * count)
     docs = docs.mapInArrow(lambda batches: _among(batches, "doc_id", only), "doc_id long, text string")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CENTRE_ROWS).cast("int").alias("parts"))
@@ -401,7 +389,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFram
     rows = wanted.join(docs, "doc_id").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
     links = stored(rows.mapInArrow(_verified(n, percent), "a long, b long").distinct(), "links")
     discard(pairs)
-    return links
+    return links, count
 
 
 def _with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
@@ -428,7 +416,10 @@ _PAIRS = "id long, other long, label long, score long"
 
 def _met(rows: DataFrame, nodes: DataFrame, percent: int, partners: str) -> DataFrame:
     """Pairs of rows (block, cell, side, ask, id, label, major) that meet in a cell of a block and survive its tree."""
-    rows = rows.select(F.xxhash64("block", "cell").alias("key"), "side", "ask", "id", "label", "major").join(nodes.select("id", "n", "point"), "id")
+    rows = rows.withColumn("key", F.xxhash64("block", "cell")).drop("cell").join(nodes.select("id", "n", "point"), "id")
+    if partners == "all":
+        names = rows.groupBy("id").agg(F.array_sort(F.collect_set("block")).alias("names")).where(F.size("names") <= NAMES)
+        rows = rows.join(names, "id", "left")
     rows = rows.repartition("key").sortWithinPartitions("key")
     pairs = rows.mapInArrow(_block_pairs(percent, partners), _PAIRS)
     if partners == "all":
@@ -437,32 +428,40 @@ def _met(rows: DataFrame, nodes: DataFrame, percent: int, partners: str) -> Data
     return pairs.groupBy("id", "label").agg(best).select("id", (-F.col("best.other")).alias("other"))
 
 
-def _first_pairs(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Each node's likeliest partner in the first and the last of its blocks, by name; near copies mostly agree on these."""
-    two = shared.groupBy("id").agg(F.min("block").alias("x"), F.max("block").alias("y"))
-    rows = two.select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+def _mixed_blocks(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(block, id, label, major, m): the rows of blocks that hold several groups; `major` marks a block's largest group, if any has two nodes."""
+    if labels is None:
+        told = shared.withColumn("label", F.col("id"))
+    else:
+        told = shared.join(labels, "id", "left").select("block", "id", F.coalesce("label", "id").alias("label"))
+    counts = told.groupBy("block", "label").agg(F.count("*").alias("c"))
+    facts = counts.groupBy("block").agg(F.max(F.struct("c", (-F.col("label")).alias("l"))).alias("top"), F.count("*").alias("groups"), F.sum("c").alias("m")).where("groups > 1")
+    rows = _with_facts(told, facts.select("block", (-F.col("top.l")).alias("top"), F.col("top.c").alias("c"), "m"), "block")
+    return rows.select("block", "id", "label", ((F.col("label") == F.col("top")) & (F.col("c") > 1)).alias("major"), "m")
+
+
+def _few_pairs(mixed: DataFrame, nodes: DataFrame, percent: int, turn: int) -> DataFrame:
+    """The likeliest partner in another group of each node in two of its blocks, which near copies mostly agree on; others in each turn."""
+    place = F.struct(F.xxhash64("block", F.lit(turn)), "block", "major")
+    two = mixed.groupBy("id", "label").agg(F.min(place).alias("x"), F.max(place).alias("y"))
+    rows = two.select("id", "label", F.explode(F.array_distinct(F.array("x", "y"))).alias("at")).select("id", "label", "at.block", "at.major")
     rows = _with_facts(rows, rows.groupBy("block").agg(F.count("*").alias("m")).where("m > 1"), "block")
     parts = F.ceil(F.col("m") / BLOCK_POINTS).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     hub = (parts > 1) & (F.pmod(F.xxhash64("id", F.lit("hub")), F.col("m")) < HUBS)
     # a hub is a point of every part and asks in its own
     rows = rows.withColumn("cell", F.explode(F.when(hub, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))))
-    rows = rows.select("block", "cell", F.lit(0).alias("side"), (F.col("cell") == own).alias("ask"), "id", F.col("id").alias("label"), F.lit(False).alias("major"))
-    return _met(rows, nodes, percent, "one")
+    asks = (F.col("cell") == own) & ~F.col("major")
+    return _met(rows.select("block", "cell", F.lit(0).alias("side"), asks.alias("ask"), "id", "label", "major"), nodes, percent, "one")
 
 
-def _later_pairs(shared: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, partners: str) -> DataFrame:
-    """Pairs across groups in blocks that hold several: asked by all nodes but those of the block's largest group."""
-    told = shared.join(labels, "id", "left").select("block", "id", F.coalesce("label", "id").alias("label"))
-    counts = told.groupBy("block", "label").agg(F.count("*").alias("c"))
-    facts = counts.groupBy("block").agg(F.max(F.struct("c", (-F.col("label")).alias("l"))).alias("top"), F.count("*").alias("groups"), F.sum("c").alias("m")).where("groups > 1")
-    rows = _with_facts(told, facts.select("block", (-F.col("top.l")).alias("top"), "m"), "block")
+def _other_pairs(mixed: DataFrame, nodes: DataFrame, percent: int, partners: str) -> DataFrame:
+    """Pairs across groups in all mixed blocks, asked by all nodes but those of a block's largest group."""
     parts = F.ceil(F.col("m") / BLOCK_POINTS).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    major = F.col("label") == F.col("top")
-    cells = F.when(~major, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))
-    rows = rows.withColumn("cell", F.explode(cells)).withColumn("side", F.when(F.col("cell") == own, 0).otherwise(1))
-    return _met(rows.select("block", "cell", "side", (~major).alias("ask"), "id", "label", major.alias("major")), nodes, percent, partners)
+    cells = F.when(F.col("major"), F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))
+    rows = mixed.withColumn("cell", F.explode(cells)).withColumn("side", F.when(F.col("cell") == own, 0).otherwise(1))
+    return _met(rows.select("block", "cell", "side", (~F.col("major")).alias("ask"), "id", "label", "major"), nodes, percent, partners)
 
 
 def jaccard_groups(documents: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -475,7 +474,7 @@ def jaccard_groups(documents: DataFrame, n: int = 3, percent: int = 90) -> DataF
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     many = docs.mapInArrow(_counted_tokens(n, percent), "t long").groupBy("t").count().where("count > 1")
-    shared_bits = _bitmap(many.select(F.col("t").bitwiseAND((1 << BITMAP_BITS) - 1).alias("k")), BITMAP_BITS)
+    shared_bits = bitmap(many.select(F.col("t").bitwiseAND((1 << BITMAP_BITS) - 1).alias("k")), BITMAP_BITS)
     told = stored(docs.mapInArrow(_described(n, percent, shared_bits), _DESCRIBED), "sets")
     named = told.where("doc_id is not null and n > 0")
     nodes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "point", "prefix")))
@@ -486,19 +485,24 @@ def jaccard_groups(documents: DataFrame, n: int = 3, percent: int = 90) -> DataF
     repeated = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     links = stored(rows.join(repeated, "doc_id").select("a", F.col("rep").alias("b")), "same")
 
-    shared = _shared(nodes)
-    used = [links]
-    rounds = (lambda _: _first_pairs(shared, nodes, percent), lambda g: _later_pairs(shared, nodes, g, percent, "each"), lambda g: _later_pairs(shared, nodes, g, percent, "all"))
-    labels = None
-    for pairs in rounds:
-        more = _linked(docs, pairs(labels), n, percent)
+    shared, used = _shared(nodes), [links]
+    turn, labels, first, stages = 0, None, 0, ["few", "each", "all"]
+    while stages:
+        mixed = stored(_mixed_blocks(shared, labels), "mixed")
+        pairs = _few_pairs(mixed, nodes, percent, turn) if stages[0] == "few" else _other_pairs(mixed, nodes, percent, stages[0])
+        more, asked = _linked(docs, pairs, n, percent)
+        discard(mixed)
         used.append(more)
-        if labels is not None and not more.limit(1).count():
-            continue
-        links = links.union(more)
-        if labels is not None:
-            discard(labels)
-        labels = components(links)
+        count = more.count() if asked else 0
+        if count or labels is None:
+            links = links.union(more.select("a", "b"))
+            if labels is not None:
+                discard(labels)
+            labels = components(links)
+        first, turn = first or count, turn + 1
+        # few pairs a turn as long as these merge much
+        if stages[0] != "few" or 10 * count <= asked or WORTH * count <= first:
+            stages.pop(0)
     discard(nodes, shared, *used)
     out = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep")).alias("component_id"))

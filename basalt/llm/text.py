@@ -118,14 +118,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df as Parquet under the shared folder and reads it back: lineage ends there, and no executor's loss undoes it."""
     import uuid
 
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path
     return out
@@ -139,6 +139,30 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bitmap(numbers: DataFrame, bits: int) -> bytes:
+    """A packed bitmap of the numbers (column k, below 2**bits), united on the executors slice by slice."""
+    width = min(1 << bits, 1 << 19)
+
+    def own(batches):
+        seen = np.zeros(1 << bits, bool)
+        for b in batches:
+            seen[b.column(0).to_numpy(zero_copy_only=False)] = True
+        parts = [(i, np.packbits(seen[i * width : (i + 1) * width]).tobytes()) for i in range((1 << bits) // width) if seen[i * width : (i + 1) * width].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["slice", "bits"])
+
+    def unite(table: pa.Table) -> pa.Table:
+        out = np.zeros(width // 8, np.uint8)
+        for x in table.column("bits"):
+            out |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table([table.column("slice").slice(0, 1), pa.array([out.tobytes()], pa.binary())], names=["slice", "bits"])
+
+    rows = numbers.mapInArrow(own, "slice int, bits binary").groupBy("slice").applyInArrow(unite, "slice int, bits binary").collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows:  # the bitmap itself: 2**bits / 8 bytes at most
+        out[r.slice * (width // 8) : (r.slice + 1) * (width // 8)] = np.frombuffer(r.bits, np.uint8)
+    return out.tobytes()
+
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
