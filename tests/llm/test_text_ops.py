@@ -292,3 +292,128 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert ann.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
     few = ann.nearest(df.where("vec_id < 4"), lambda i: i == 0).collect()
     assert len(few) == 3
+
+
+def _segmentations(n, segments):
+    """All ways to choose segments (start, end, score) that do not overlap: the best total, by trying each."""
+    if not segments:
+        return 0.0
+    (a, b, score), rest = segments[0], segments[1:]
+    return max(_segmentations(n, rest), score + _segmentations(n, [s for s in rest if s[0] >= b or s[1] <= a]))
+
+
+def test_field_finds_the_best_segmentation():
+    rng = np.random.default_rng(3)
+    for text in ("call (017) 555-7713", "1 2@3.de", "a (at) b.fr 12", "4.5.6.7 8-9"):
+        field = pii.SegmentField()
+        field.weights = rng.normal(0, 1, field.weights.shape)
+        tokens = pii._TOKEN.findall(text)
+        free = np.zeros(len(tokens), bool)
+        every = field.candidates(tokens, free)
+        scores = field.scores(every)
+        live = [(a, b, float(s.max())) for (a, b, _), s in zip(every, scores) if s.max() > 0]
+        got = field.best(tokens, free)
+        value = {(a, b, k): scores[i][k] for i, (a, b, _) in enumerate(every) for k in range(len(pii.KINDS))}
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        if len(live) <= 18:
+            assert sum(value[g] for g in got) == pytest.approx(_segmentations(len(tokens), live))
+
+
+def test_field_on_held_out_examples():
+    field = pii.SegmentField()
+    field.weights = pii.trained_field()
+    right = told = real = 0
+    for text, gold in pii._examples(random.Random(99), 300):
+        base, found = pii.find_spans(text, field)
+        assert set(base) <= set(found)
+        right, told, real = right + len(set(found) & set(gold)), told + len(set(found)), real + len(set(gold))
+    assert right / told > 0.95 and right / real > 0.92
+    for text, kind in (("call 0171 555 7713 now", "phone"), ("john (at) example.com wrote", "email"), ("host 192 . 168 . 0 . 1 is up", "ip"), ("4111.1111.1111.1111 y", "card")):
+        assert [s[0] for s in pii.find_spans(text, field)[1]] == [kind]
+    for text in ("order 12345-678-901 shipped", "id 4111 1111 1111 1112 z"):
+        assert pii.find_spans(text, field)[1] == []
+
+
+def test_field_reads_whole_texts():
+    """Reading the surroundings of marks gives what reading all tokens gives."""
+    field, rng = pii.SegmentField(), random.Random(4)
+    field.weights = pii.trained_field()
+    for _ in range(20):
+        text = " ".join(rng.choice(["word", "and", "x" * 50, "(017) 555-7713", "12.5", "b (at) c.de", "host 1 . 2 . 3 . 4", ""]) for _ in range(60))
+        tokens = pii._TOKEN.findall(text)
+        ends = np.cumsum([len(t) for t in tokens])
+        barred = np.zeros(len(tokens), bool)
+        base = pii.base_spans(text)
+        for _, a, b in base:
+            barred |= (ends - [len(t) for t in tokens] < b) & (ends > a)
+        whole = [(pii.KINDS[k], int(ends[a - 1]) if a else 0, int(ends[b - 1])) for a, b, k in field.best(tokens, barred)]
+        assert pii.find_spans(text, field)[1] == sorted(base + whole, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    field = pii.SegmentField()
+    field.weights = pii.trained_field()
+    for text in ("7" * 1_000_000, "a" * 1_000_000 + "@", "+1(" * 100_000, "ab@" * 50_000):
+        began = time.perf_counter()
+        pii.base_spans(text)
+        assert time.perf_counter() - began < 5
+    began = time.perf_counter()
+    assert pii.find_spans("7" * 1_000_000, field)[0] == []
+    assert time.perf_counter() - began < 5
+
+
+def test_foreign_texts_have_no_evidence(spark):
+    rng = random.Random(6)
+    letters = {"aa": "abcde", "bb": "vwxyz"}
+    say = lambda k, n: " ".join("".join(rng.choice(k) for _ in range(6)) for _ in range(n))
+    rows = [(i, say(k, 60), n) for n, k in letters.items() for i in range(40)]
+    models = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    told = langid.weighed(pa.array([say("abcde", 20), say("vwxyz", 3) + " 123 a@b.c", say("щдлйфы", 20), "", "12 34", say("mnopq", 30)]), models)[3]
+    assert (told >= -langid.FOREIGN).tolist() == [True, True, False, True, True, False]
+
+
+def test_sample_of_many_rows_and_values(spark):
+    from basalt.llm.text import bounded_sample
+
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('t', id) AS text", "if(id % 10 = 0, 'b', 'a') AS lang")
+    got = collections.Counter(r.lang for r in bounded_sample(df, 50, 10_000, per="lang", most_kinds=2))
+    assert got == {"a": 50, "b": 50}
+    with pytest.raises(ValueError):
+        bounded_sample(df, 50, 10_000, per="lang", most_kinds=1)
+
+
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80), (2, 60)])
+def test_jaccard_chains_and_hot_groups(spark, n, percent):
+    """Chains of near copies, a passage in every text and large groups, in parts of a few points, against all pairs."""
+    rng = random.Random(percent)
+    words = [f"w{i}" for i in range(300)]
+    passage = [rng.choice(words) for _ in range(12)]
+    texts = []
+    for _ in range(4):
+        base = [rng.choice(words) for _ in range(60)]
+        for _ in range(25):
+            if rng.random() < 0.6:
+                base = list(base)
+                base[rng.randrange(len(base))] = rng.choice(words)
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own + passage * rng.randint(0, 2)))
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    sets = [{tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for w in (t.split() for t in texts)]
+    top = list(range(len(texts)))
+    find = lambda x: x if top[x] == x else find(top[x])
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                top[y] = x
+    before = jaccard.BLOCK_POINTS, jaccard.HUBS, jaccard.NAMES
+    try:
+        for jaccard.BLOCK_POINTS, jaccard.HUBS, jaccard.NAMES in ((1024, 32, 256), (8, 2, 3)):
+            got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(df, n, percent).collect()}
+            assert got == {i: find(i) for i in range(len(texts))}
+    finally:
+        jaccard.BLOCK_POINTS, jaccard.HUBS, jaccard.NAMES = before
