@@ -151,9 +151,16 @@ class Database(Engine):
             p.need("(")
             columns = [o.e.name if o.e.kind == "col" else o.e.text for o in p.listed(p.order_item)]
             p.need(")")
-            if unique:
+            where = p.sql[p.toks[p.at].start :] if p.take("WHERE") else None
+            if where is not None:
+                where = where.strip().rstrip(";")
+                self._where(self.frame(table.name), table, where)
+            if unique and where is None:
                 self._unique(self.frame(table.name), table, columns)
                 table.unique.append(columns)
+            elif unique:
+                self._unique(self._where(self.frame(table.name), table, where), table, columns)
+                table.partial.append((columns, where))
             self.state.indexes[low] = Index(name, table.name, columns, unique, sql)
         elif what == "TRIGGER":
             self._create_trigger(p, name, sql)
@@ -276,7 +283,9 @@ class Database(Engine):
                 for k in [k for k, x in group.items() if x.table.lower() == name.lower()]:
                     del group[k]
         elif what == "INDEX" and gone is not None and gone.unique:
-            self.table(gone.table).unique.remove(gone.columns)
+            table = self.table(gone.table)
+            rule = next((r for r in table.partial if r[0] == gone.columns and r[1] in gone.sql), None)
+            (table.unique if rule is None else table.partial).remove(gone.columns if rule is None else rule)
 
     def _do_alter(self, p: Parser, sql: str):
         p.need("TABLE", "INDEX")
@@ -304,6 +313,8 @@ class Database(Engine):
             df = self.frame(table.name).withColumnRenamed(c.name, new)
             c.name = new
             rename = lambda names: [new if n.lower() == old.lower() else n for n in names]
+            if table.partial:
+                raise SqlError("drop the table's partial unique indexes first", "0A000")
             table.unique = [rename(u) for u in table.unique]
             table.checks = [re.sub(rf"\b{re.escape(old)}\b", new, x, flags=re.I) for x in table.checks]
             for fk in table.foreign:
@@ -663,6 +674,8 @@ class Database(Engine):
         self._check(new, table)
         for key in table.keys:
             self._unique(self.frame(table.name), table, key)
+        for key, where in table.partial:
+            self._unique(self._where(self.frame(table.name), table, where), table, key)
         if self.settings["foreign_keys"]:
             for fk in table.foreign:
                 parent = self.table(fk.table)
@@ -679,6 +692,12 @@ class Database(Engine):
             if rows.where(f"NOT ({self.emitter().cond(Parser(check).expr(), scope)})").limit(1).count():
                 raise ConstraintError(f"CHECK constraint failed: {check}")
 
+    def _where(self, rows: DataFrame, table: Table, predicate: str) -> DataFrame:
+        """The table's rows that a predicate over its columns holds for."""
+        scope = Scope()
+        scope.tables.append((table.name, {c.name.lower(): (c.name, kind_of(spark_type(c.declared))) for c in table.columns}))
+        return rows.alias(table.name).where(self.emitter().cond(Parser(predicate).expr(), scope))
+
     @staticmethod
     def _unique(rows: DataFrame, table: Table, key: list[str]) -> None:
         whole = " AND ".join(f"{ident(k)} IS NOT NULL" for k in key)

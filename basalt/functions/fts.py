@@ -107,9 +107,8 @@ class TextIndex:
 
     def __init__(self, docs: DataFrame, doc: str, text: str, tokenizer: str = "ascii"):
         self.tokenizer, self.spark = tokenizer, docs.sparkSession
-        listed = docs.select(F.col(doc).alias("doc"), tokens(F.col(text), tokenizer).alias("terms"))
-        self.lengths = listed.select("doc", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("length"))
-        self.places = listed.select("doc", F.posexplode("terms").alias("pos", "term"))
+        self.listed = docs.select(F.col(doc).alias("doc"), tokens(F.col(text), tokenizer).alias("terms"))
+        self.places = self.listed.select("doc", F.posexplode("terms").alias("pos", "term"))
         self.postings = self.places.groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
     def terms_of(self, query: str) -> list[str]:
@@ -140,15 +139,24 @@ class TextIndex:
     def bm25(self, query: str, k1: float = 1.2, b: float = 0.75, idf: str = "okapi") -> DataFrame:
         """(doc, score) of documents with any term, by BM25; idf `okapi` is ln((N-df+.5)/(df+.5)+1), `plain` ln((N-df+1)/(df+1))."""
         terms = self.terms_of(query)
-        hit = self.postings.where(F.col("term").isin(terms))
-        whole = self.lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-        df = hit.groupBy("term").agg(F.count("*").alias("df"))
-        rows = hit.join(F.broadcast(df), "term").join(self.lengths, "doc").crossJoin(F.broadcast(whole))
-        n, d = F.col("n"), F.col("df")
-        weight = F.log((n - d + 0.5) / (d + 0.5) + 1) if idf == "okapi" else F.log((n - d + 1) / (d + 1))
-        tf = F.col("tf")
-        part = weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-        return rows.groupBy("doc").agg(F.sum(part).alias("score"))
+        if not terms:
+            return self.listed.select("doc", F.lit(0.0).alias("score")).limit(0)
+        # texts are cut into terms once for the totals and once for the scores; nothing of a document is shuffled
+        def count(word: str) -> Column:
+            return F.size(F.filter("terms", lambda t: t == word))
+
+        told = self.listed.select("doc", F.coalesce(F.size("terms"), F.lit(0)).alias("length"), F.array(*map(count, terms)).alias("tfs"))
+        dfs = [F.count_if(F.col("tfs")[k] > 0).alias(f"df{k}") for k in range(len(terms))]
+        whole = told.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *dfs)
+        rows = told.where(F.exists("tfs", lambda tf: tf > 0)).crossJoin(F.broadcast(whole))  # one row
+        n = F.col("n")
+
+        def part(k: int) -> Column:
+            d, tf = F.col(f"df{k}"), F.col("tfs")[k]
+            weight = F.log((n - d + 0.5) / (d + 0.5) + 1) if idf == "okapi" else F.log((n - d + 1) / (d + 1))
+            return F.when(tf > 0, weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))).otherwise(0.0)
+
+        return rows.select("doc", sum((part(k) for k in range(1, len(terms))), part(0)).alias("score"))
 
 
 def highlight(text: Column, terms: list[str], before: str = "<b>", after: str = "</b>") -> Column:

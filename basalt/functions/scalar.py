@@ -281,23 +281,37 @@ def modified(t: str, modifier: str) -> str:
     raise FunctionError(f"unknown modifier {modifier!r}")
 
 
-def _literal(a: Arg) -> str:
+def modified_by(t: str, a: Arg) -> str:
+    """A time after a modifier that is known for each row only; NULL if it is none."""
+    word, pattern = f"lower(trim({text_of(a)}))", r"'^([+-]?[0-9]+(?:\\.[0-9]+)?)[ ]*(second|minute|hour|day|month|year)s?$'"
+    n, unit = f"CAST(nullif(regexp_extract({word}, {pattern}, 1), '') AS DOUBLE)", f"regexp_extract({word}, {pattern}, 2)"
+    day = f"CAST({t} AS DATE)"
+    seconds = f"CAST({n} * CASE {unit} {' '.join(f'WHEN {quote(u)} THEN {k}' for u, k in _SECONDS.items())} END AS DECIMAL(18,6))"
+    months = f"CAST({n} AS INT) * CASE {unit} WHEN 'year' THEN 12 ELSE 1 END"
+    whole = "".join(f" WHEN {word} = {quote(w)} THEN {modified(t, w)}" for w in ("start of day", "start of month", "start of year", "localtime", "utc", *(f"weekday {k}" for k in range(7))))
+    return (
+        f"CASE WHEN {unit} IN ('second', 'minute', 'hour', 'day') THEN {t} + make_dt_interval(0, 0, 0, {seconds})"
+        f" WHEN {unit} IN ('month', 'year') THEN CAST(date_add(add_months(trunc({day}, 'MM'), {months}), day({day}) - 1) AS TIMESTAMP_NTZ) + ({t} - CAST({day} AS TIMESTAMP_NTZ)){whole} END"
+    )
+
+
+def _literal(a: Arg) -> str | None:
+    """The text of a literal; None for any other expression."""
     m = re.fullmatch(r"'((?:[^'\\]|\\.)*)'", a[0])
-    if not m:
-        raise FunctionError("a modifier or format must be a literal")
-    return re.sub(r"\\(.)", r"\1", m.group(1))
+    return re.sub(r"\\(.)", r"\1", m.group(1)) if m else None
 
 
 def _moment(args: list[Arg]) -> str:
     args = args or [("'now'", "text")]
-    words = [_literal(a) for a in args[1:]]
-    if words and words[0].lower() == "unixepoch":
+    steps = args[1:]
+    if steps and (_literal(steps[0]) or "").lower() == "unixepoch":
         t = f"CAST(timestamp_micros(CAST({real_of(args[0])} * 1000000D AS BIGINT)) AS TIMESTAMP_NTZ)"
-        words = words[1:]
+        steps = steps[1:]
     else:
         t = moment(args[0])
-    for w in words:
-        t = modified(t, w)
+    for a in steps:
+        word = _literal(a)
+        t = modified_by(t, a) if word is None else modified(t, word)
     return t
 
 
@@ -313,6 +327,11 @@ def _strftime(args: list[Arg]) -> Arg:
         "f": f"date_format({t}, 'ss.SSS')", "j": f"lpad(CAST(dayofyear({d}) AS STRING), 3, '0')", "w": f"CAST(dayofweek({d}) - 1 AS STRING)", "u": f"CAST(pmod(dayofweek({d}) - 2, 7) + 1 AS STRING)", "s": f"CAST(unix_seconds(CAST({t} AS TIMESTAMP)) AS STRING)",
         "J": f"CAST({_julian(t)} AS STRING)", "W": f"lpad(CAST((dayofyear({d}) + 6 - pmod(dayofweek({d}) - 2, 7)) DIV 7 AS STRING), 2, '0')", "F": f"date_format({t}, 'yyyy-MM-dd')", "T": f"date_format({t}, 'HH:mm:ss')", "R": f"date_format({t}, 'HH:mm')", "e": f"lpad(CAST(day({d}) AS STRING), 2, ' ')",
     }
+    if fmt is None:  # a format of each row: specifiers are replaced one after another, an unknown one gives NULL
+        made = f"replace({text_of(args[0])}, '%%', '\u0001')"
+        for letter, value in part.items():
+            made = f"replace({made}, '%{letter}', {value})"
+        return f"CASE WHEN NOT contains({made}, '%') THEN replace({made}, '\u0001', '%') END", "text"
     out, at = [], 0
     for m in re.finditer(r"%(.)", fmt):
         if m.start() > at:

@@ -13,7 +13,8 @@ def iterate(base: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: b
     """All rows of the base and of steps over each round's new rows, until a round brings none.
 
     With `distinct` a row counts once in all rounds. Each round's rows are written, so plans do not
-    grow and a lost executor costs no more than a round; the driver sees counts only.
+    grow and a lost executor costs no more than a round; the driver sees counts only. A recursion that
+    still brings rows after `most` rounds is an error, never a cut result.
     """
     delta = stored(base.distinct() if distinct else base, "round")
     parts, total = [delta], delta.count()
@@ -37,6 +38,8 @@ def iterate(base: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: b
             for p in parts[1:]:
                 whole = whole.union(p)
             parts = [stored(whole, "rounds")]
+    else:
+        raise RecursionError(f"the recursion brings new rows after {most} rounds")
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions import json_udf
-from .plans.emit import Emitter, kind_of
+from .plans.emit import OWN_AGGREGATES, Emitter, kind_of
 from .plans.parser import SqlError, parse_query
 
 _NUMBER = itertools.count()
@@ -34,6 +35,34 @@ class Engine:
         self.frames: dict[str, tuple[str, DataFrame]] = {}
         self.views: dict[str, str] = {}
         self.plans: dict[str, str] = {}
+        self.functions: dict[str, tuple[str, str, list[str] | None]] = {}
+
+    # -- functions ------------------------------------------------------------------
+    def create_function(self, name: str, call, returns: str = "text", takes: list[str] | None = None) -> None:
+        """Makes a Python function of pandas Series (one a column; a Series comes back) callable in SQL.
+
+        `returns` and `takes` are kinds: int, real or text. NULL arguments are missing values of the Series.
+        """
+        self._register(name, call, returns, takes)
+
+    def create_aggregate(self, name: str, call, returns: str = "real", takes: list[str] | None = None) -> None:
+        """Makes a Python function from the pandas Series of a group to one value an aggregate in SQL; a group is held by one task."""
+        self._register(name, call, returns, takes, aggregate=True)
+        OWN_AGGREGATES.add(name.upper())
+
+    def _register(self, name: str, call, returns: str, takes: list[str] | None, aggregate: bool = False) -> None:
+        from pyspark.sql.functions import PandasUDFType, pandas_udf
+
+        kinds = {"int": "long", "real": "double", "text": "string"}
+        if returns not in kinds or not set(takes or []) <= set(kinds):
+            raise ValueError("kinds are int, real and text")
+        spark_name = f"own{next(_NUMBER)}_{name.lower()}"
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", UserWarning)  # the function's own hints, if any, don't say what it is
+            made = pandas_udf(call, kinds[returns], PandasUDFType.GROUPED_AGG if aggregate else PandasUDFType.SCALAR)
+        self.spark.udf.register(spark_name, made)
+        self.functions[name.lower()] = (spark_name, returns, takes)
+        self.plans.clear()
 
     # -- names --------------------------------------------------------------------
     def register(self, name: str, df: DataFrame) -> None:
@@ -74,7 +103,7 @@ class Engine:
 
     # -- queries ------------------------------------------------------------------
     def emitter(self) -> Emitter:
-        return Emitter(lambda sql: self.spark.sql(sql).schema, self.resolve, self._recursive, self.literals())
+        return Emitter(lambda sql: self.spark.sql(sql).schema, self.resolve, self._recursive, self.literals(), self.functions)
 
     def literals(self) -> dict[str, tuple[str, str]]:
         """Session values that read like columns or calls."""

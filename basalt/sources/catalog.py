@@ -58,6 +58,8 @@ class Table:
     columns: list[Column]
     sql: str
     unique: list[list[str]] = field(default_factory=list)
+    #: Columns that are unique among the rows that a predicate (SQL) holds for.
+    partial: list[tuple[list[str], str]] = field(default_factory=list)
     checks: list[str] = field(default_factory=list)
     foreign: list[ForeignKey] = field(default_factory=list)
     folders: tuple[str, ...] = ()

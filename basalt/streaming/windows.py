@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def _late(df: DataFrame, time: str, delay: str) -> DataFrame:
-    return df.withWatermark(time, delay) if df.isStreaming else df
+    """A stream with its watermark, which needs a time with a zone: one without is taken in the session's."""
+    return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay) if df.isStreaming else df
 
 
 def tumbling(df: DataFrame, time: str, size: str, keys: list[str], *aggregates, delay: str = "10 minutes", slide: str | None = None) -> DataFrame:

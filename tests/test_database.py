@@ -6,6 +6,7 @@ import pytest
 
 from basalt.database import ConstraintError, Database
 from basalt.plans import introspect
+from basalt.plans.parser import SqlError
 from basalt.sources import files
 
 SCRIPT = [
@@ -170,3 +171,40 @@ def test_select_into_and_vacuum(db):
     db.execute("SELECT id, v INTO copied FROM p WHERE id > 1; INSERT INTO copied VALUES (9, 'nine'); VACUUM")
     assert db.query("SELECT COUNT(*) FROM copied").first()[0] == 3 and len(db.table("copied").folders) == 1
     db.execute("DROP TABLE copied")
+
+
+def test_partial_unique_index(spark):
+    db = Database(spark)
+    db.execute("CREATE TABLE t(a INT, b TEXT); INSERT INTO t VALUES (1, NULL), (1, NULL), (1, 'x')")
+    db.execute("CREATE UNIQUE INDEX u ON t(a) WHERE b IS NOT NULL")
+    db.execute("INSERT INTO t VALUES (1, NULL), (2, 'x')")
+    with pytest.raises(ConstraintError):
+        db.execute("INSERT INTO t VALUES (1, 'y')")
+    with pytest.raises(ConstraintError):
+        db.execute("UPDATE t SET b = 'z' WHERE a = 1")
+    db.execute("DROP INDEX u; INSERT INTO t VALUES (1, 'y')")
+    with pytest.raises(ConstraintError):
+        db.execute("CREATE UNIQUE INDEX u ON t(a) WHERE b IS NOT NULL")
+
+
+def test_own_functions_and_row_arguments(spark):
+    db = Database(spark)
+    db.execute("CREATE TABLE t(a INT, d TEXT, f TEXT); INSERT INTO t VALUES (1, '2024-01-31', '%Y/%m'), (2, '2024-02-28', '%d%%'), (3, '2024-03-01', '%Q'), (NULL, '2024-03-01', NULL)")
+    db.create_function("twice", lambda s: s * 2, "int", ["int"])
+    db.create_aggregate("middle", lambda s: float(s.median()), "real", ["real"])
+    rows = lambda sql: [tuple(r) for r in db.query(sql).collect()]
+    assert rows("SELECT twice(a) FROM t WHERE a IS NOT NULL ORDER BY a") == [(2,), (4,), (6,)]
+    assert rows("SELECT middle(a) FROM t WHERE a IS NOT NULL HAVING middle(a) > 0") == [(2.0,)]
+    with pytest.raises(SqlError):
+        db.query("SELECT twice(a, a) FROM t")
+    assert rows("SELECT DATE(d, '+' || a || ' days'), STRFTIME(f, d) FROM t ORDER BY a NULLS LAST") == [("2024-02-01", "2024/01"), ("2024-03-01", "28%"), ("2024-03-04", None), (None, None)]
+    assert rows("SELECT JSON_GROUP_ARRAY(DISTINCT a % 2) FROM t") == [("[null,0,1]",)]
+    assert rows("SELECT JSON_GROUP_ARRAY(a) FILTER (WHERE a > 1) FROM t") == [("[2,3]",)]
+    assert rows("SELECT GROUP_CONCAT(a, '-') OVER (ORDER BY d, a) FROM t WHERE a IS NOT NULL") == [("1",), ("1-2",), ("1-2-3",)]
+
+
+def test_endless_recursion_is_an_error(spark):
+    from basalt.operators.recursion import iterate
+
+    with pytest.raises(RecursionError):
+        iterate(spark.range(1), lambda d: d.selectExpr("id + 1 AS id"), distinct=True, most=3).count()
