@@ -6,6 +6,9 @@ aggregates of it. Terms of a query are few, so the index is filtered before anyt
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,7 +110,7 @@ class TextIndex:
 
     def __init__(self, docs: DataFrame, doc: str, text: str, tokenizer: str = "ascii"):
         self.tokenizer, self.spark = tokenizer, docs.sparkSession
-        self.listed = docs.select(F.col(doc).alias("doc"), tokens(F.col(text), tokenizer).alias("terms"))
+        self.listed = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"), tokens(F.col(text), tokenizer).alias("terms"))
         self.places = self.listed.select("doc", F.posexplode("terms").alias("pos", "term"))
         self.postings = self.places.groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
@@ -141,14 +144,20 @@ class TextIndex:
         terms = self.terms_of(query)
         if not terms:
             return self.listed.select("doc", F.lit(0.0).alias("score")).limit(0)
-        # texts are cut into terms once for the totals and once for the scores; nothing of a document is shuffled
+
         def count(word: str) -> Column:
             return F.size(F.filter("terms", lambda t: t == word))
 
-        told = self.listed.select("doc", F.coalesce(F.size("terms"), F.lit(0)).alias("length"), F.array(*map(count, terms)).alias("tfs"))
-        dfs = [F.count_if(F.col("tfs")[k] > 0).alias(f"df{k}") for k in range(len(terms))]
-        whole = told.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *dfs)
-        rows = told.where(F.exists("tfs", lambda tf: tf > 0)).crossJoin(F.broadcast(whole))  # one row
+        # one pass counts terms; texts that may hold a query's term are found by its letters, and only these are cut
+        # into terms. Nothing of a document is shuffled.
+        hits = self.listed
+        if self.tokenizer != "porter":
+            low = F.lower("text")
+            hits = hits.where(reduce(or_, (F.contains(low, F.lit(t)) for t in terms)))
+        told = hits.select("doc", F.coalesce(F.size("terms"), F.lit(0)).alias("length"), F.array(*map(count, terms)).alias("tfs"))
+        whole = self.listed.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size("terms"), F.lit(0))).alias("mean"))
+        dfs = told.agg(*[F.count_if(F.col("tfs")[k] > 0).alias(f"df{k}") for k in range(len(terms))])
+        rows = told.where(F.exists("tfs", lambda tf: tf > 0)).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(dfs))  # one row each
         n = F.col("n")
 
         def part(k: int) -> Column:
