@@ -6,10 +6,10 @@ first, and visits as many leaves as calibration found to reach the wanted recall
 of queries, answers over all rows by brute force (in blocks) show how far visits must widen.
 
 Equal vectors are one point that keeps its smallest ids, as many as a result can show, so a
-vector that a third of the rows share costs one point. Large leaves are dealt out in parts, and
-queries meet a leaf's part in one matrix product. A leaf answers with its best points that reach
-the query's bar, a score that a few times k points of the fitted sample reach; a query that finds
-too few points above its bar visits its leaves again without one.
+vector that a third of the rows share costs one point. A leaf's points are dealt out in parts, and so
+are its queries: a task streams queries past one part, whatever their number. A leaf answers with its
+best points that reach the query's bar, a score that a few times k points of the fitted sample reach; a
+query that finds too few points above its bar visits its leaves again without one.
 """
 
 from __future__ import annotations
@@ -24,12 +24,15 @@ from pyspark.sql.window import Window
 
 from .text import lean, stored
 
-#: Bounds: vectors in the fitted sample, leaves, calibration queries; children of a node; points of a leaf's part.
+#: Bounds: vectors in the fitted sample, leaves, calibration queries; children of a node; points of a leaf's part, and queries.
 SAMPLE = 20_000
 LEAVES = 4096
 CALIBRATION = 200
 BRANCH = 16
 PART = 4096
+ASKED = 16_384
+#: Queries that meet a part in one matrix product.
+TOGETHER = 1024
 #: Points that a leaf should hold: this number, or this multiple of the square root of all, so that leaves visited
 #: grow less than the rows; and the recall that calibration must show.
 LEAF_POINTS = 256
@@ -111,8 +114,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def _best(q: np.ndarray, x: np.ndarray, ids: list, keep: int) -> list[list[tuple[float, int]]]:
-    """For each query the `keep` best (score, id): largest inner product, then smallest id. ids: each point's ids, ascending."""
+def _best(q: np.ndarray, x: np.ndarray, ids: list, keep: int) -> list[list[tuple[float, int, bool]]]:
+    """For each query the `keep` best (score, id, whether its vector is the query's): largest inner product, then smallest id. ids: each point's ids, ascending."""
     rough, out = q @ x.T, []
     firsts = np.array([i[0] for i in ids])
     for row, v in zip(rough, q):
@@ -124,27 +127,55 @@ def _best(q: np.ndarray, x: np.ndarray, ids: list, keep: int) -> list[list[tuple
             near = np.arange(len(row))
         score = (x[near] * v).sum(1)  # one order of summation, whatever the block
         order = np.lexsort((firsts[near], -score))
-        got = [(float(score[o]), i) for o in order for i in ids[near[o]]]
+        got = [(float(score[o]), i, bool((x[near[o]] == v).all())) for o in order for i in ids[near[o]]]
         out.append(sorted(got, key=lambda s: (-s[0], s[1]))[:keep])
     return out
 
 
 def _search(keep: int):
-    def run(key, points: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[int, float, int]] = []
-        if points.num_rows and queries.num_rows:
-            x, ids = _matrix(points.column("embedding").combine_chunks()), points.column("ids").to_pylist()
-            names = queries.column("qid").to_pylist()
-            q, bars = queries.column("embedding").combine_chunks(), queries.column("bar").to_pylist()
-            for at in range(0, len(names), 1024):
-                for name, bar, best in zip(names[at : at + 1024], bars[at : at + 1024], _best(_matrix(q.slice(at, 1024)), x, ids, keep)):
-                    out += [(name, s, i) for s, i in best if s >= bar]
-        return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.int64())], names=["qid", "score", "vec_id"])
-
-    return run
-
-
-_FOUND = "qid long, score double, vec_id long"
+    """Arrow mapper over rows (key, ids, embedding, qid, bar) sorted by key, a part's points (qid null) before the queries that meet it."""
+
+    def run(batches):
+        now, x, ids, points, asked, out = None, None, [], [], [], []
+
+        def answer():
+            nonlocal x, points
+            if points:
+                x, points = np.array(points), []
+            if asked and x is not None:
+                q = np.array([v for _, _, v in asked])
+                for (name, bar, _), best in zip(asked, _best(q, x, ids, keep)):
+                    out.extend((name, *found) for found in best if found[0] >= bar)
+            asked.clear()
+
+        def found():
+            kinds = (pa.int64(), pa.float64(), pa.int64(), pa.bool_())
+            rows = [pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(rows, names=["qid", "score", "vec_id", "same"])
+
+        for batch in batches:
+            keys, names, bars = (batch.column(c).to_pylist() for c in ("key", "qid", "bar"))
+            vectors, own = _matrix(batch.column("embedding")), batch.column("ids").to_pylist()
+            for i, key in enumerate(keys):
+                if key != now:
+                    answer()
+                    now, x, ids, points = key, None, [], []
+                if names[i] is None:
+                    points.append(vectors[i])
+                    ids.append(own[i])
+                else:
+                    asked.append((names[i], bars[i], vectors[i]))
+                    if len(asked) == TOGETHER:
+                        answer()
+            yield found()
+        answer()
+        yield found()
+
+    return lean(run)
+
+
+_FOUND = "qid long, score double, vec_id long, same boolean"
 
 
 def _top(found: DataFrame, keep: int) -> DataFrame:
@@ -154,33 +185,41 @@ def _top(found: DataFrame, keep: int) -> DataFrame:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the vectors that take part, as arrays of float or double of the commonest length."""
+    """(vec_id, embedding) of the rows that take part."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null and size(embedding) > 0")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = v.where(finite).where(F.exists("embedding", lambda x: x != 0))
-    sizes = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    v = v.where(F.size("embedding") == (sizes[0].n if sizes else 0))
-    return v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return v.where(finite).where(F.exists("embedding", lambda x: x != 0))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL, leaves: int = LEAVES) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by inner product in double precision, ties to the smaller id.
 
     `is_query` is a predicate over vec_id; candidates are all rows but the query's own. Vectors that
-    are null, empty, zero, of another length than most, or hold null or non-finite components take
-    no part, nor do null ids. A repeated vec_id counts once, with its smallest vector. Other columns
-    are ignored. Fewer candidates than k give all; an empty table gives none.
+    are null, empty, zero, or hold null or non-finite components take no part, nor do null ids. Rows
+    that repeat a vec_id are candidates and queries each. Vectors of different lengths have no inner
+    product: those of one length are searched among themselves. Other columns are ignored. Fewer
+    candidates than k give all; an empty table gives none.
     """
-    spark, keep = vectors.sparkSession, k + 1
     rows = stored(usable(vectors), "vectors")
+    sizes = [r.n for r in rows.groupBy(F.size("embedding").alias("n")).count().orderBy("n").collect()]  # one row a length
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = None
+    for n in sizes:
+        own = _nearest(rows if len(sizes) == 1 else stored(rows.where(F.size("embedding") == n), "vectors"), is_query, k, recall, leaves)
+        out = own if out is None else out.union(own)
+    return out
+
+
+def _nearest(rows: DataFrame, is_query, k: int, recall: float, leaves: int) -> DataFrame:
+    """nearest() over a written table of usable rows of one length."""
+    spark, keep = rows.sparkSession, k + 1
     w = Window.partitionBy("embedding").orderBy("vec_id")
     # no result can show more than k + 1 copies of one vector; the limit is applied before the shuffle too
     few = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= keep)
     groups = few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     groups = stored(groups.withColumn("pid", F.col("ids")[0]), "points")
     n = groups.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = groups.select("embedding").orderBy(F.xxhash64("pid"), "pid").limit(SAMPLE).toPandas()["embedding"]
     sample = np.array([np.asarray(v, np.float64) for v in sample])
     wanted = max(1, min(leaves, n // max(LEAF_POINTS, int(LEAF_ROOTS * n**0.5))))
@@ -195,10 +234,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL, l
     kind = groups.schema["embedding"].dataType.simpleString()
     points = stored(groups.select("pid", "ids", "embedding").mapInArrow(lean(to_leaf), f"pid long, ids array<long>, embedding {kind}, leaf long"), "leaves")
     sizes = {r.leaf: r["count"] for r in points.groupBy("leaf").count().collect()}  # at most a row for each leaf
-    parts = {leaf: -(-c // PART) for leaf, c in sizes.items()}
 
     asked = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "embedding")
-    queries = stored(asked.groupBy("embedding").agg(F.min("query_id").alias("qid")), "queries")
+    # a number of its own for each distinct vector: a repeated id may ask with several
+    queries = stored(asked.groupBy("embedding").agg(F.min("query_id").alias("least")).withColumn("qid", F.monotonically_increasing_id()), "queries")
     visits = _calibrated(points, queries, tree, keep, recall)
 
     rank = 4 * keep
@@ -211,43 +250,48 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL, l
     def to_visits(barred):
         def run(batches):
             for b in batches:
-                x, ids, embedding = _matrix(b.column("embedding")), b.column("qid"), b.column("embedding")
+                x, ids = _matrix(b.column("embedding")), b.column("qid")
                 bars = pa.array(_bars(x) if barred else np.full(len(x), -np.inf))
                 for start in range(0, len(ids), 256):
-                    row, leaf, part = [], [], []
-                    for i in range(start, min(start + 256, len(ids))):
-                        for at in tree.visit(x[i], visits, sizes, keep):
-                            for p in range(parts.get(at, 0)):
-                                row.append(i)
-                                leaf.append(at)
-                                part.append(p)
-                    take = pa.array(row, pa.int64())
-                    yield pa.RecordBatch.from_arrays([ids.take(take), embedding.take(take), pa.array(leaf, pa.int64()), pa.array(part, pa.int32()), bars.take(take)], names=["qid", "embedding", "leaf", "part", "bar"])
-
-        return run
+                    seen = [(i, leaf) for i in range(start, min(start + 256, len(ids))) for leaf in tree.visit(x[i], visits, sizes, keep)]
+                    take = pa.array([i for i, _ in seen], pa.int64())
+                    yield pa.RecordBatch.from_arrays([ids.take(take), pa.array([leaf for _, leaf in seen], pa.int64()), bars.take(take)], names=["qid", "leaf", "bar"])
 
-    table = spark.createDataFrame([(int(a), int(b)) for a, b in parts.items()], "leaf long, parts int")
-    dealt = points.join(table, "leaf").withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int")).select("leaf", "part", "ids", "embedding")
+        return lean(run)
 
     def search(these, barred):
-        visited = these.mapInArrow(lean(to_visits(barred)), f"qid long, embedding {kind}, leaf long, part int, bar double")
-        return dealt.groupBy("leaf", "part").cogroup(visited.groupBy("leaf", "part")).applyInArrow(_search(keep), _FOUND)
+        visited = stored(these.select("qid", "embedding").mapInArrow(to_visits(barred), "qid long, leaf long, bar double"), "visits")
+        asks = {r.leaf: r["count"] for r in visited.groupBy("leaf").count().collect()}  # at most a row for each leaf
+        cells = [(leaf, -(-c // PART), -(-asks[leaf] // ASKED)) for leaf, c in sizes.items() if leaf in asks]
+        # parts of a leaf's points, and of its queries: a point goes to each part of the queries and the other way round
+        table = F.broadcast(spark.createDataFrame(cells, "leaf long, parts int, turns int"))  # at most a row for each leaf
+        salt = F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int")
+        here = points.join(table, "leaf").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+        here = here.select(F.xxhash64("leaf", salt, "turn").alias("key"), "ids", "embedding", F.lit(None).cast("long").alias("qid"), F.lit(None).cast("double").alias("bar"))
+        salt = F.pmod(F.xxhash64("qid"), F.col("turns")).cast("int")
+        there = visited.join(table, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        there = there.select(F.xxhash64("leaf", "part", salt).alias("key"), "qid", "bar").join(these.select("qid", "embedding"), "qid")
+        there = there.select("key", F.lit(None).cast("array<long>").alias("ids"), "embedding", "qid", "bar")
+        met = here.union(there).repartition("key").sortWithinPartitions("key", F.asc_nulls_first("qid"))
+        return met.mapInArrow(_search(keep), _FOUND)
 
     found = stored(search(queries, True), "found")
-    few = queries.join(found.groupBy("qid").count(), "qid", "left").where(F.coalesce("count", F.lit(0)) < keep).select("qid", "embedding")
+    few = queries.select("qid", "embedding").join(found.groupBy("qid").count(), "qid", "left").where(F.coalesce("count", F.lit(0)) < keep).select("qid", "embedding")
     if few.limit(1).count():
         few = stored(few, "few")
         found = found.join(few.select("qid"), "qid", "left_anti").union(search(few, False))
-    best = _top(found, keep).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("best"))
-    named = asked.join(queries, "embedding").select("query_id", "qid").join(best, "qid")
-    own = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
-    out = named.select("query_id", F.posexplode(own).alias("at", "b"))
+    best = _top(found, keep).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score", "same"))).alias("best"))
+    named = asked.join(queries.select("embedding", "qid"), "embedding").select("query_id", "qid").join(best, "qid")
+    # the query's own row is the first with its id and its vector; other rows of that id stay
+    own = F.array_position(F.transform("best", lambda b: b["same"] & (b["vec_id"] == F.col("query_id"))), True)
+    others = F.filter("best", lambda b, i: i + 1 != own)
+    out = named.select("query_id", F.posexplode(F.slice(others, 1, k)).alias("at", "b"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
 
 
 def _calibrated(points: DataFrame, queries: DataFrame, tree: MeansTree, keep: int, recall: float) -> int:
     """Leaves to visit so that a bounded set of queries finds the wanted share of its true neighbours among all points."""
-    probe = queries.orderBy(F.xxhash64("qid"), "qid").limit(CALIBRATION).toPandas()
+    probe = queries.orderBy(F.xxhash64("least"), "least", "embedding").limit(CALIBRATION).toPandas()
     if not len(probe):
         return 1
     q = np.array([np.asarray(v, np.float64) for v in probe["embedding"]])
@@ -257,10 +301,10 @@ def _calibrated(points: DataFrame, queries: DataFrame, tree: MeansTree, keep: in
             if b.num_rows:
                 x, leaf = _matrix(b.column("embedding")), b.column("leaf").to_pylist()
                 pid = b.column("pid").to_pylist()
-                rows = [(i, s, p, leaf[p]) for i, best in enumerate(_best(q, x, [[p] for p in range(len(pid))], keep)) for s, p in best]
+                rows = [(i, s, p, leaf[p]) for i, best in enumerate(_best(q, x, [[p] for p in range(len(pid))], keep)) for s, p, _ in best]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64()), pa.array([pid[r[2]] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["qid", "score", "vec_id", "leaf"])
 
-    truth = _top(points.select("pid", "embedding", "leaf").mapInArrow(lean(brute), _FOUND + ", leaf long"), keep).select("qid", "leaf").collect()
+    truth = _top(points.select("pid", "embedding", "leaf").mapInArrow(lean(brute), "qid long, score double, vec_id long, leaf long"), keep).select("qid", "leaf").collect()
     place = [{leaf: i for i, leaf in enumerate(tree.visit(v, tree.leaves))} for v in q]
     need = sorted(place[r.qid][r.leaf] + 1 for r in truth)
     return min(tree.leaves, need[min(len(need) - 1, int(np.ceil(recall * len(need))))] + 1)
