@@ -336,47 +336,56 @@ def _closure(node) -> Callable[[dict], object]:
     return lambda names: call(a(names), b(names))
 
 
-def _writer(nodes: list, masked: bool) -> Callable[[dict], Iterator[tuple[str, bool]]]:
-    """A generator function that yields (text, in the loss mask) for the statements."""
-    steps = []
-    for node in nodes:
-        if node[0] == "text":
-            steps.append(("text", (node[1], masked)))
-        elif node[0] == "print":
-            steps.append(("print", _closure(node[1])))
-        elif node[0] == "set":
-            steps.append(("set", (node[1], _closure(node[2]))))
-        elif node[0] == "generation":
-            steps.append(("block", _writer(node[1], True)))
-        elif node[0] == "for":
-            steps.append(("for", (node[1], _closure(node[2]), _writer(node[3], masked))))
-        else:
-            steps.append(("if", ([(_closure(t), _writer(b, masked)) for t, b in node[1]], _writer(node[2], masked))))
+Pieces = Iterator[tuple[str, bool]]
+
+
+def _statement(node, masked: bool) -> Callable[[dict], Pieces]:
+    """A closure that yields (text, in the loss mask) for one statement."""
+    op = node[0]
+    if op == "text":
+        piece = [(node[1], masked)]
+        return lambda names: iter(piece)
+    if op == "print":
+        value = _closure(node[1])
+        return lambda names: iter([(_shown(value(names)), masked)])
+    if op == "set":
+        name, value = node[1], _closure(node[2])
+
+        def assign(names):
+            names[name] = value(names)
+            return iter(())
+
+        return assign
+    if op == "generation":
+        return _writer(node[1], True)
+    if op == "for":
+        name, over, body = node[1], _closure(node[2]), _writer(node[3], masked)
+
+        def loop(names):
+            items = over(names)
+            if isinstance(items, (str, dict)) or not hasattr(items, "__iter__"):
+                raise TemplateError("only lists can be looped over")
+            for number, item in enumerate(items):
+                yield from body(names | {name: item, "loop": {"index": number + 1, "first": number == 0}})
+
+        return loop
+    other = _writer(node[2], masked)
+    for test, body in reversed([(_closure(t), _writer(b, masked)) for t, b in node[1]]):
+        other = _choice(test, body, other)
+    return other
+
+
+def _choice(test, body, other) -> Callable[[dict], Pieces]:
+    return lambda names: body(names) if test(names) else other(names)
+
+
+def _writer(nodes: list, masked: bool) -> Callable[[dict], Pieces]:
+    """A closure that yields the pieces of all statements in order."""
+    steps = tuple(_statement(node, masked) for node in nodes)
 
     def write(names):
-        for kind, x in steps:
-            if kind == "text":
-                yield x
-            elif kind == "print":
-                yield _shown(x(names)), masked
-            elif kind == "set":
-                names[x[0]] = x[1](names)
-            elif kind == "block":
-                yield from x(names)
-            elif kind == "for":
-                name, over, body = x
-                items = over(names)
-                if isinstance(items, (str, dict)) or not hasattr(items, "__iter__"):
-                    raise TemplateError("only lists can be looped over")
-                for number, item in enumerate(items):
-                    yield from body(names | {name: item, "loop": {"index": number + 1, "first": number == 0}})
-            else:
-                for test, body in x[0]:
-                    if test(names):
-                        yield from body(names)
-                        break
-                else:
-                    yield from x[1](names)
+        for step in steps:
+            yield from step(names)
 
     return write
 
