@@ -4,7 +4,7 @@ Texts become token sequences in which numbers, names and units are typed placeho
 question with other numbers or names has the same template. Windows of the items' templates are
 hash-joined with the documents' windows. Windows that match along one alignment of a document and
 an item must fill the placeholders consistently: one item value stands for one document value
-throughout, and the other way round; windows that do not are left out. Names or numbers side by
+throughout; windows that do not are left out. Names or numbers side by
 side are one placeholder, and an alignment may gain or lose a few words on its way (up to
 a quarter of the item's). Windows of words as they are, of any length and kind, are joined as well,
 so that verbatim copies need no literals. An alignment that covers enough of the item is a hit.
@@ -191,9 +191,9 @@ def _verbatim(window: tuple) -> bool:
 def _consistent(windows: list[tuple]) -> list[tuple]:
     """The windows (item_at, at, item_lens, item_slots, lens, slots) of an alignment that fill the placeholders consistently.
 
-    Of fills that exclude each other (one item value with two document values, or the other way
-    round) the one at most places of the item stays, a verbatim one in a tie, otherwise none.
-    Windows with another fill go; verbatim windows always stay.
+    Of fills that exclude each other (one item value with two document values) the one at most places
+    of the item stays, a verbatim one in a tie, otherwise none. Two item values may become the same
+    document value. Windows with another fill go; verbatim windows always stay.
     """
     places: dict[tuple[str, str], set[int]] = {}
     for item_at, _, lens, mine, _, its in windows:
@@ -202,11 +202,10 @@ def _consistent(windows: list[tuple]) -> list[tuple]:
                 places.setdefault(fill, set()).add(item_at)
             item_at += n
     rank = {f: (len(p), f[0] == f[1]) for f, p in places.items()}
-    rivals: tuple[dict, dict] = ({}, {})
+    rivals: dict[str, list] = {}
     for fill in rank:
-        for side in (0, 1):
-            rivals[side].setdefault(fill[side], []).append(fill)
-    stay = {f for f in rank if all(r == f or rank[r] < rank[f] for side in (0, 1) for r in rivals[side][f[side]])}
+        rivals.setdefault(fill[0], []).append(fill)
+    stay = {f for f in rank if all(r == f or rank[r] < rank[f] for r in rivals[f[0]])}
     return [w for w in windows if _verbatim(w) or all(f in stay for f in zip(w[3], w[5]) if f[0])]
 
 
