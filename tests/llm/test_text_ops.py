@@ -417,3 +417,43 @@ def test_jaccard_chains_and_hot_groups(spark, n, percent):
             assert got == {i: find(i) for i in range(len(texts))}
     finally:
         jaccard.BLOCK_POINTS, jaccard.HUBS, jaccard.NAMES = before
+
+
+def test_neighbours_with_repeats_and_hot_leaves(spark):
+    """Repeated ids, repeated vectors, two lengths, leaves dealt out in small parts: all leaves visited, so equal to brute force."""
+    rng = np.random.default_rng(12)
+    hub = rng.normal(0, 1, 8)
+    rows = [(int(i), (hub + rng.normal(0, 0.01, 8)).round(2).tolist()) for i in range(120)] + [(int(i), rng.normal(0, 1, 8).round(1).tolist()) for i in range(120, 300)]
+    rows += [(20, rows[20][1]), (20, rows[41][1]), (40, rows[299][1])] + [(500 + i, rng.normal(0, 1, 3).tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before = ann.PART, ann.ASKED, ann.TOGETHER
+    try:
+        ann.PART, ann.ASKED, ann.TOGETHER = 16, 3, 2
+        got = collections.Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(df, lambda i: i % 20 == 0, k=5, recall=1.0).collect())
+    finally:
+        ann.PART, ann.ASKED, ann.TOGETHER = before
+    want = collections.Counter()
+    for n, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            near = sorted((-float((np.array(u) * np.array(v)).sum()), j) for m, (j, u) in enumerate(rows) if m != n and len(u) == len(v))
+            want.update((i, r + 1, j, round(-s, 9)) for r, (s, j) in enumerate(near[:5]))
+    assert sum((got & want).values()) >= 0.95 * sum(want.values()) and sum(got.values()) == sum(want.values())
+
+
+def test_values_may_become_equal(spark):
+    item = "If Anna buys 12 green apples and Ben sells 3 of the red pears to a market, how many fruits do they have together at the end"
+    docs = [(1, "Today we ask this. " + item.replace("12", "3") + "?"), (2, "so: " + item.replace("12", "9").replace("3", "9") + "?"), (3, "nothing of the kind is said here at all, not even 12 or 3 words of it")]
+    got = {r.doc_id: r.coverage for r in decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2} and min(got.values()) >= 0.9
+
+
+def test_long_texts_of_megabytes(spark):
+    """One text of two million characters goes through each operator beside a short one."""
+    rng = random.Random(9)
+    long = " ".join(rng.choice(WORDS) for _ in range(450_000))
+    df = spark.createDataFrame([(1, long), (2, "short text of some words here"), (3, long + " end")], DOCS)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(df).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    item = " ".join(long.split()[1000:1040])
+    assert {r.doc_id for r in decontam.contaminated(df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()} == {1, 3}
+    assert len(pii.personal_spans(df).collect()) == len(secrets.secret_spans(df).collect()) == 3
