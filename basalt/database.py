@@ -129,7 +129,7 @@ class Database(Engine):
         unique = bool(p.take("UNIQUE"))
         what = p.need("TABLE", "INDEX", "VIEW", "TRIGGER", "VIRTUAL")
         if what == "VIRTUAL":
-            return None
+            return self._create_virtual(p, sql)
         maybe = p.phrase("IF", "NOT", "EXISTS")
         name = p.table_name()
         low = name.lower()
@@ -168,6 +168,32 @@ class Database(Engine):
             self._create_table(p, name, sql)
         return None
 
+    def _create_virtual(self, p: Parser, sql: str):
+        """USING fts5(column, ..): a table of texts, which `name MATCH query` searches; USING series(first, last[, step]): a view of numbers."""
+        p.need("TABLE")
+        maybe = p.phrase("IF", "NOT", "EXISTS")
+        name = p.table_name()
+        low = name.lower()
+        if low in self.state.tables or low in self.state.views:
+            if maybe:
+                return None
+            raise SqlError(f"table {name} already exists", "42P07")
+        m = re.search(r"\bUSING\s+(\w+)\s*(?:\((.*)\))?\s*;?\s*\Z", sql, re.IGNORECASE | re.DOTALL)
+        module, args = (m[1].lower(), [a.strip() for a in (m[2] or "").split(",") if a.strip()]) if m else ("", [])
+        if module in ("fts5", "fts"):
+            columns = [a.split()[0] for a in args if "=" not in a]
+            if not columns:
+                raise SqlError("a full-text table needs a column", "42601")
+            self._statement(f"CREATE TABLE {name}({', '.join(f'{c} TEXT' for c in columns)})", None)
+            self.table(name).sql = sql
+        elif module in ("series", "generate_series"):
+            text = f"SELECT value FROM series({', '.join(args)})"
+            self.emitter().query(Parser(text).select())
+            self.state.views[low] = (text, name, sql)
+        else:
+            raise SqlError(f"no such module: {module}", "42704")
+        return None
+
     def _create_table(self, p: Parser, name: str, sql: str):
         if p.take("AS"):
             df = self.spark.sql(self.emitter().query(p.select())[0])
@@ -832,10 +858,15 @@ class Database(Engine):
             self.state.stats[n] = self.frame(n).count()
 
     def _do_vacuum(self, p: Parser, sql: str):
-        """Rewrites every table as one folder without gaps."""
+        """Rewrites every table as one folder without gaps and deletes the versions that neither it nor an open transaction names.
+
+        Results of earlier queries that were not read yet may name deleted versions.
+        """
         for t in self.state.tables.values():
             if len(t.folders) > 1:
                 t.folders = (self.store.write(self.frame(t.name), t.name),)
+        states = [self.state, *(s for _, s in self.saved)]
+        self.store.free({f for s in states for t in s.tables.values() for f in t.folders})
 
     def _do_reindex(self, p: Parser, sql: str):
         return None

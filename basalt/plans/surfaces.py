@@ -107,6 +107,25 @@ def l05_partial_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.query("SELECT a, b FROM p")
 
 
+def s15_fts5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = Database(spark)
+    db.load(sf_dir, "documents")
+    db.execute("CREATE VIRTUAL TABLE f USING fts5(id, body); INSERT INTO f SELECT doc_id, text FROM documents")
+    return db.query("SELECT CAST(id AS INTEGER) AS id FROM f WHERE f MATCH '\"rights reserved\" OR token NOT license'")
+
+
+def s14_series_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = Database(spark)
+    db.execute("CREATE VIRTUAL TABLE s USING series(2, 50, 4)")
+    return db.query("SELECT value FROM s")
+
+
+def l19_vacuum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _made(spark, sf_dir)
+    db.execute("DELETE FROM t WHERE r = 1; INSERT INTO t VALUES (70, 'x', 1); REINDEX; VACUUM")
+    return db.query("SELECT id, name, r FROM t")
+
+
 def f15_own_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark).load(sf_dir, "customer")
     e.create_function("initials", lambda s: s.str.slice(0, 3), "text", ["text"])
@@ -151,7 +170,7 @@ def _values(columns: str, *rows: str) -> str:
 
 QUERIES = {
     f.__name__: f
-    for f in (s16_csv, s18_json, s19_dump, s20_backup, s22_file_backed, l22_parameters, l30_dbapi, l31_error_codes, l26_integrity, l05_partial_unique, f15_own_functions, d15_windows, d15_stream, d15_sessions)
+    for f in (s16_csv, s18_json, s19_dump, s20_backup, s22_file_backed, l22_parameters, l30_dbapi, l31_error_codes, l26_integrity, l05_partial_unique, l19_vacuum, s14_series_table, s15_fts5, f15_own_functions, d15_windows, d15_stream, d15_sessions)
 } | {
     "s11_tables": _asked("SELECT table_name, table_type FROM information_schema.tables"),
     "s11_views": _asked("SELECT table_name FROM information_schema.views"),
@@ -165,6 +184,9 @@ QUERIES = {
 SQL = {
     "s16_csv": "SELECT c_custkey::VARCHAR AS c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ', \"' END AS note FROM customer",
     "s18_json": "SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS bal FROM customer",
+    "s14_series_table": "SELECT UNNEST(generate_series(2, 50, 4))::BIGINT AS value",
+    "s15_fts5": "SELECT doc_id AS id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])rights[^a-z0-9]+reserved($|[^a-z0-9])') OR regexp_matches(lower(text), '(^|[^a-z0-9])token($|[^a-z0-9])') AND NOT regexp_matches(lower(text), '(^|[^a-z0-9])license($|[^a-z0-9])')",
+    "l19_vacuum": f"SELECT * FROM ({_T}) WHERE r <> 1 UNION ALL SELECT 70, 'x', 1",
     "s19_dump": _T,
     "s20_backup": _T,
     "s22_file_backed": _T,

@@ -120,11 +120,20 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str | None = None, compression: str = "zstd"):
         self.spark, self.folder, self.compression = spark, folder, compression
+        self.written: set[str] = set()
+
+    def free(self, used: set[str]) -> None:
+        """Deletes the folders that this store wrote and nothing uses."""
+        for path in sorted(self.written - used):
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            self.written.discard(path)
 
     def write(self, df: DataFrame, name: str) -> str:
         root = self.folder or f"{shared_folder(self.spark)}/tables"
         path = f"{root.rstrip('/')}/{name}/{uuid.uuid4().hex}"
         df.write.option("compression", self.compression).parquet(path)
+        self.written.add(path)
         return path
 
     def read(self, table: Table) -> DataFrame:

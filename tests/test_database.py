@@ -208,3 +208,25 @@ def test_endless_recursion_is_an_error(spark):
 
     with pytest.raises(RecursionError):
         iterate(spark.range(1), lambda d: d.selectExpr("id + 1 AS id"), distinct=True, most=3).count()
+
+
+def test_virtual_tables_and_vacuum(spark):
+    import os
+
+    db = Database(spark)
+    db.execute("CREATE VIRTUAL TABLE f USING fts5(title, body); INSERT INTO f VALUES ('Quick fox', 'jumps over'), ('Lazy dog', 'sleeps, the quick way'), (NULL, 'foxes run')")
+    found = lambda q: sorted(r[0] for r in db.query(f"SELECT body FROM f WHERE f MATCH '{q}'").collect())
+    over, way, run = "jumps over", "sleeps, the quick way", "foxes run"
+    want = {"quick": [over, way], "quick fox": [over], "fox*": [run, over], "dog OR run": [run, way], '"quick way"': [way], '"fox jumps"': [], "quick NOT fox": [way], "over AND quick": [over], "!": []}
+    assert {q: found(q) for q in want} == {q: sorted(w) for q, w in want.items()}
+    db.execute("CREATE VIRTUAL TABLE s USING series(1, 10, 3)")
+    assert sorted(r[0] for r in db.query("SELECT value FROM s").collect()) == [1, 4, 7, 10]
+    with pytest.raises(SqlError):
+        db.execute("CREATE VIRTUAL TABLE z USING nothing(a)")
+    before = set(db.store.written)
+    db.execute("DELETE FROM f WHERE title IS NULL; VACUUM")
+    gone = before - db.store.written
+    assert gone and not any(os.path.exists(p.removeprefix("file://")) for p in gone)
+    assert db.query("SELECT COUNT(*) FROM f").first()[0] == 2
+    db.execute("BEGIN; DELETE FROM f; VACUUM; ROLLBACK")
+    assert db.query("SELECT COUNT(*) FROM f").first()[0] == 2
