@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from .formats import DIRECTIVE
+
 Arg = tuple[str, str]
 
 
@@ -104,17 +106,13 @@ def _quote(args: list[Arg]) -> Arg:
     return f"coalesce(concat('\\'', replace({text_of(args[0])}, '\\'', '\\'\\''), '\\''), 'NULL')", "text"
 
 
-_DIRECTIVE = re.compile(r"%(?P<flags>[-+ 0,#]*)(?P<width>\d*)(?:\.(?P<prec>\d+))?(?P<conv>[diufFeEgGsxXoc%q])")
-
-
 def _printf(args: list[Arg]) -> Arg:
-    """printf/format with a literal format; %d %i %u %f %e %g %s %q %x %X %o %c %%."""
-    m = re.fullmatch(r"'((?:[^'\\]|\\.)*)'", args[0][0])
-    if not m:
-        raise FunctionError("the format of printf must be a literal")
-    fmt = re.sub(r"\\(.)", r"\1", m.group(1))
+    """printf/format; %d %i %u %f %e %g %s %q %x %X %o %c %%. A literal format becomes an expression, any other one goes row by row."""
+    fmt = _literal(args[0])
+    if fmt is None:
+        return f"basalt_printf({text_of(args[0])}, CAST(array({', '.join(map(text_of, args[1:]))}) AS ARRAY<STRING>))", "text"
     out, used, at, values = "", 1, 0, []
-    for d in _DIRECTIVE.finditer(fmt):
+    for d in DIRECTIVE.finditer(fmt):
         out += fmt[at : d.start()].replace("%", "%%")
         at = d.end()
         conv, flags, width, prec = d["conv"], d["flags"], d["width"], d["prec"]

@@ -123,6 +123,7 @@ QUERIES: list[tuple[str, str] | tuple[str, str, str]] = [
     # arguments of each row, distinct and ordered lists
     ("d08_row_modifier", "SELECT o_orderkey, DATE(o_orderdate, '+' || (o_orderkey % 40) || ' days') AS d FROM orders", "SELECT o_orderkey, strftime(o_orderdate::DATE + (o_orderkey % 40)::INT, '%Y-%m-%d') AS d FROM orders"),
     ("d07_row_format", "SELECT o_orderkey, STRFTIME(CASE WHEN o_orderkey % 2 = 0 THEN '%Y' ELSE '%d.%m%%' END, o_orderdate) AS d FROM orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%d.%m%%') END AS d FROM orders"),
+    ("t13_row_format", "SELECT o_orderkey, PRINTF(CASE WHEN o_orderkey % 2 = 0 THEN '%06d' ELSE '<%s>' END, o_orderkey) AS p FROM orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN lpad(o_orderkey::VARCHAR, 6, '0') ELSE '<' || o_orderkey || '>' END AS p FROM orders"),
     ("a14_json_distinct", "SELECT o_custkey, JSON_GROUP_ARRAY(DISTINCT o_orderstatus) AS j FROM orders GROUP BY o_custkey", "SELECT o_custkey, '[' || string_agg(s, ',' ORDER BY s) || ']' AS j FROM (SELECT DISTINCT o_custkey, '\"' || o_orderstatus || '\"' AS s FROM orders) GROUP BY o_custkey"),
     ("a13_concat_over", "SELECT o_orderkey, GROUP_CONCAT(o_orderstatus, '-') OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS g FROM orders", "SELECT o_orderkey, string_agg(o_orderstatus, '-') OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS g FROM orders"),
     ("j06b_natural_later", "SELECT a.n_name AS n, b.r_name AS r, c.k AS k FROM nation a JOIN region b ON b.r_regionkey = a.n_regionkey NATURAL JOIN (SELECT n_name, n_nationkey * 2 AS k FROM nation) c", "SELECT a.n_name AS n, b.r_name AS r, a.n_nationkey * 2 AS k FROM nation a JOIN region b ON b.r_regionkey = a.n_regionkey"),

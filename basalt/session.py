@@ -7,7 +7,7 @@ import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .functions import json_udf
+from .functions import formats, json_udf
 from .plans.emit import OWN_AGGREGATES, Emitter, kind_of
 from .plans.parser import SqlError, parse_query
 
@@ -32,6 +32,7 @@ class Engine:
         for k, v in SETTINGS.items():
             self.spark.conf.set(k, v)
         json_udf.register(self.spark)
+        formats.register(self.spark)
         self.frames: dict[str, tuple[str, DataFrame]] = {}
         self.views: dict[str, str] = {}
         self.plans: dict[str, str] = {}

@@ -230,3 +230,17 @@ def test_virtual_tables_and_vacuum(spark):
     assert db.query("SELECT COUNT(*) FROM f").first()[0] == 2
     db.execute("BEGIN; DELETE FROM f; VACUUM; ROLLBACK")
     assert db.query("SELECT COUNT(*) FROM f").first()[0] == 2
+
+
+def test_printf_formats_of_rows(spark):
+    """A format in a column gives what the same literal gives."""
+    db = Database(spark)
+    forms = ["%d|%s", "%05d", "%-6d|", "%+d", "%.2f", "%8.3f|", "%x", "%5s|%-5s|", "%%%d", "%q", "%,d", "%s %s %s", "plain", "%e"]
+    db.execute("CREATE TABLE t(f TEXT, a INT, b TEXT)")
+    for f in forms:
+        db.execute("INSERT INTO t VALUES (?, 1234, 'it''s')", [f])
+    db.execute("INSERT INTO t VALUES (NULL, 1, 'x')")
+    got = {r[0]: r[1] for r in db.query("SELECT f, PRINTF(f, a, b) FROM t").collect()}
+    for f in forms:
+        assert got[f] == db.query(f"SELECT PRINTF('{f}', a, b) FROM t LIMIT 1").first()[0], f
+    assert got[None] is None
