@@ -10,9 +10,9 @@ At scale one tree over all points would compare everything of like size, so the
 dealt into blocks, none of which loses a pair: under any fixed order of tokens, two sets with
 J >= t share a token among the first n - ceil(t n) + 1 of each. The order is by hash, but tokens
 that several documents share come last, so shared passages do not make blocks. Sharing is counted
-over all documents for the tokens of a fixed share of the hash range, into a bitmap of fixed size;
-a counted token without its bit stands in one document only and names no block. Equal sets are one
-node.
+over all documents for the tokens of a fixed share of the hash range, into a bitmap whose size follows
+the number of shared ones; a counted token without its bit stands in one document only and names no
+block. Equal sets are one node.
 
 Links are found in turns, over the blocks that still hold several groups. First each node meets
 only two of its blocks and its likeliest partner there is verified, again and again as long as this
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .text import bitmap, coded, discard, lean, slices, split_words, stored, texts
+from .text import bitmap, coded, collected, discard, lean, slices, split_words, stored, texts
 
 #: Groups of tokens: the fewest, the most that are finer than a token each, and tokens that a group of larger sets holds.
 LEAST_GROUPS = 16
@@ -42,8 +42,10 @@ PER_GROUP = 2
 FULL = 65535
 #: The counted share of the hash range, as a multiple of a prefix's share of a set.
 COUNTED = 1.75
-#: Bits of the shared-token bitmap: its size never depends on the data; a false hit only reorders.
-BITMAP_BITS = 25
+#: Bits of the shared-token bitmap for each shared token, and the most in all as a power of two. A false hit loses no pair, but a full
+#: bitmap makes every token look shared and so fills the prefixes.
+BITS_A_TOKEN = 8
+BITMAP_BITS = 28
 #: Bits a wanted doc_id gets, and the most in all, in the bitmaps by which texts are left out before they are shuffled.
 BITS_AN_ID = 16
 MOST_ID_BITS = 26
@@ -123,6 +125,12 @@ def _token_bucket(s: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (s & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
 
 
+def _token_bitmap(shared: DataFrame) -> bytes:
+    """A bitmap over the shared tokens t, of a size that follows their number up to a bound."""
+    bits = min(BITMAP_BITS, max(16, (BITS_A_TOKEN * shared.count()).bit_length()))
+    return bitmap(shared.select(F.col("t").bitwiseAND((1 << bits) - 1).alias("k")), bits)
+
+
 def _described(n: int, percent: int, shared: bytes):
     """Arrow mapper: doc_id, text -> doc_id, n, h1, h2, point, prefix. `shared`: the bitmap of counted tokens that texts share.
 
@@ -473,8 +481,10 @@ def jaccard_groups(documents: DataFrame, n: int = 3, percent: int = 90) -> DataF
     An empty table gives an empty table.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    many = docs.mapInArrow(_counted_tokens(n, percent), "t long").groupBy("t").count().where("count > 1")
-    shared_bits = bitmap(many.select(F.col("t").bitwiseAND((1 << BITMAP_BITS) - 1).alias("k")), BITMAP_BITS)
+    many = stored(docs.mapInArrow(_counted_tokens(n, percent), "t long").groupBy("t").count().where("count > 1").select("t"), "many")
+    collected(docs.sparkSession)
+    shared_bits = _token_bitmap(many)
+    discard(many)
     told = stored(docs.mapInArrow(_described(n, percent, shared_bits), _DESCRIBED), "sets")
     named = told.where("doc_id is not null and n > 0")
     nodes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "point", "prefix")))

@@ -139,27 +139,38 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """Collects the driver's garbage: Spark deletes shuffle files of tables that are gone only after that."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bitmap(numbers: DataFrame, bits: int) -> bytes:
-    """A packed bitmap of the numbers (column k, below 2**bits), united on the executors slice by slice."""
-    width = min(1 << bits, 1 << 19)
+    """A packed bitmap of the numbers (column k, below 2**bits). They are dealt by slice, so what is moved follows their count, not tasks times the bitmap's size."""
+    from pyspark.sql import functions as F
+
+    step = min(bits, max(10, bits - 9))
+    width = 1 << step
 
     def own(batches):
-        seen = np.zeros(1 << bits, bool)
+        seen = {}
         for b in batches:
-            seen[b.column(0).to_numpy(zero_copy_only=False)] = True
-        parts = [(i, np.packbits(seen[i * width : (i + 1) * width]).tobytes()) for i in range((1 << bits) // width) if seen[i * width : (i + 1) * width].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["slice", "bits"])
-
-    def unite(table: pa.Table) -> pa.Table:
-        out = np.zeros(width // 8, np.uint8)
-        for x in table.column("bits"):
-            out |= np.frombuffer(x.as_py(), np.uint8)
-        return pa.table([table.column("slice").slice(0, 1), pa.array([out.tobytes()], pa.binary())], names=["slice", "bits"])
-
-    rows = numbers.mapInArrow(own, "slice int, bits binary").groupBy("slice").applyInArrow(unite, "slice int, bits binary").collect()
+            if not b.num_rows:
+                continue
+            k = np.sort(b.column("k").to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(k >> step)) + 1).tolist(), len(k)]
+            for start, stop in zip(cuts[:-1], cuts[1:]):
+                at = k[start:stop] & (width - 1)
+                part = seen.setdefault(int(k[start] >> step), np.zeros(width // 8, np.uint8))
+                np.bitwise_or.at(part, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([x.tobytes() for x in seen.values()], pa.binary())], names=["slice", "bits"])
+
+    dealt = numbers.select(F.col("k").cast("long").alias("k")).repartition(F.shiftright("k", step))
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows:  # the bitmap itself: 2**bits / 8 bytes at most
-        out[r.slice * (width // 8) : (r.slice + 1) * (width // 8)] = np.frombuffer(r.bits, np.uint8)
+    for r in dealt.mapInArrow(own, "slice int, bits binary").collect():  # the bitmap itself: 2**bits / 8 bytes at most
+        out[r.slice * (width // 8) : (r.slice + 1) * (width // 8)] |= np.frombuffer(r.bits, np.uint8)
     return out.tobytes()
 
 

@@ -458,3 +458,16 @@ def test_long_texts_of_megabytes(spark):
     item = " ".join(long.split()[1000:1040])
     assert {r.doc_id for r in decontam.contaminated(df, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()} == {1, 3}
     assert len(pii.personal_spans(df).collect()) == len(secrets.secret_spans(df).collect()) == 3
+
+
+@pytest.mark.parametrize("bits", [10, 12, 21])
+def test_bitmap_of_numbers(spark, bits):
+    numbers = random.Random(bits).sample(range(1 << bits), 900)
+    df = spark.createDataFrame([(k,) for k in numbers * 2], "k long").repartition(7)
+    assert np.flatnonzero(np.unpackbits(np.frombuffer(jaccard.bitmap(df, bits), np.uint8))).tolist() == sorted(numbers)
+
+
+def test_token_bitmap_follows_the_tokens(spark):
+    for count in (1, 100_000, 400_000):
+        bits = np.unpackbits(np.frombuffer(jaccard._token_bitmap(spark.range(count).selectExpr("xxhash64(id) AS t")), np.uint8))
+        assert 0.04 < bits.mean() < 0.25 or count == 1 and bits.sum() == 1
