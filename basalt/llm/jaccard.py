@@ -12,7 +12,8 @@ J >= t share a token among the first n - ceil(t n) + 1 of each. The order is by
 that several documents share come last, so shared passages do not make blocks. Sharing is counted
 over all documents for the tokens of a fixed share of the hash range, into a bitmap whose size follows
 the number of shared ones; a counted token without its bit stands in one document only and names no
-block. Equal sets are one node.
+block. Of two such sets the smaller has a shared token among its first n - ceil(2t n / (1 + t)) + 1
+already, so a token that is in no set's first so many names no block either. Equal sets are one node.
 
 Links are found in turns, over the blocks that still hold several groups. First each node meets
 only two of its blocks and its likeliest partner there is verified, again and again as long as this
@@ -132,16 +133,17 @@ def _token_bitmap(shared: DataFrame) -> bytes:
 
 
 def _described(n: int, percent: int, shared: bytes):
-    """Arrow mapper: doc_id, text -> doc_id, n, h1, h2, point, prefix. `shared`: the bitmap of counted tokens that texts share.
+    """Arrow mapper: doc_id, text -> doc_id, n, h1, h2, point, prefix, firsts. `shared`: the bitmap of counted tokens that texts share.
 
     The prefix leaves out tokens that stand in one text only; without any other the point is empty too.
+    `firsts`: how many of the prefix are among those of which a larger set's prefix holds one.
     """
     limit = _limit(percent)
 
     def run(batches):
         bits = np.frombuffer(shared, np.uint8)
         for batch in slices(batches):
-            size, h1, h2, points, prefixes = [], [], [], [], []
+            size, h1, h2, points, prefixes, firsts = [], [], [], [], [], []
             for s in shingle_sets(texts(batch), n):
                 size.append(len(s))
                 a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
@@ -155,12 +157,14 @@ def _described(n: int, percent: int, shared: bytes):
                 # in order: counted tokens of one text, uncounted ones by hash, shared ones by hash
                 prefix = np.concatenate([s[counted:], s[:counted][late]])[: max(0, keep - alone)]
                 prefixes.append(prefix.view(np.int64))
+                least = (2 * percent * len(s) + 99 + percent) // (100 + percent)
+                firsts.append(min(len(prefix), max(0, len(s) - least + 1 - alone)))
                 groups = _groups(len(s))
                 full = np.bincount((s >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups) if len(prefix) else np.empty(0)
                 points.append(np.minimum(full, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(points, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "h1", "h2", "point", "prefix"],
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(points, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(firsts, pa.int32())],
+                names=["doc_id", "n", "h1", "h2", "point", "prefix", "firsts"],
             )
 
     return lean(run)
@@ -192,7 +196,7 @@ def _id_bitmap(ids: DataFrame, count: int) -> bytes:
     return bitmap(ids.mapInArrow(buckets, "k long"), bits)
 
 
-_DESCRIBED = "doc_id long, n long, h1 long, h2 long, point binary, prefix array<long>"
+_DESCRIBED = "doc_id long, n long, h1 long, h2 long, point binary, prefix array<long>, firsts int"
 
 
 class CountTree:
@@ -408,14 +412,14 @@ def _with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
-    """(block, id): blocks of the nodes that share a prefix token.
+    """(block, id): blocks of the nodes that share a prefix token, if it is among the first ones of any of them.
 
     Tokens that the same nodes share make one block: its name is a digest of its members. Should two
     sets of members have one digest, their blocks unite and no pair is lost.
     """
-    posts = nodes.where(F.size("prefix") > 0).select("id", F.explode("prefix").alias("token"))
-    facts = posts.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("members")).where("m > 1")
-    named = _with_facts(posts, facts.select("token", F.xxhash64("members", "m").alias("block")), "token")
+    posts = nodes.where(F.size("prefix") > 0).select("id", "firsts", F.posexplode("prefix").alias("at", "token")).select("id", "token", (F.col("at") < F.col("firsts")).alias("first"))
+    facts = posts.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("members"), F.max("first").alias("first")).where("m > 1 and first")
+    named = _with_facts(posts.drop("first"), facts.select("token", F.xxhash64("members", "m").alias("block")), "token")
     return stored(named.select("block", "id").distinct(), "shared")
 
 
@@ -487,7 +491,7 @@ def jaccard_groups(documents: DataFrame, n: int = 3, percent: int = 90) -> DataF
     discard(many)
     told = stored(docs.mapInArrow(_described(n, percent, shared_bits), _DESCRIBED), "sets")
     named = told.where("doc_id is not null and n > 0")
-    nodes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "point", "prefix")))
+    nodes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "point", "prefix", "firsts")))
     nodes = stored(nodes, "nodes")
     reps = nodes.select("h1", "h2", F.col("id").alias("rep"))
     rows = stored(told.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(reps, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "rows")

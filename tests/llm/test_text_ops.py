@@ -460,6 +460,28 @@ def test_long_texts_of_megabytes(spark):
     assert len(pii.personal_spans(df).collect()) == len(secrets.secret_spans(df).collect()) == 3
 
 
+def test_jaccard_blocks_of_shared_words(spark, monkeypatch):
+    """Unrelated texts of few words share most of their shingles: nearly all of those name no block, and no link is lost."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(WORDS[:30]) for _ in range(80))) for i in range(300)]
+    for i in range(0, 300, 10):
+        w = rows[i][1].split()
+        w[0] = "other"
+        rows.append((1000 + i, " ".join(w + ["more"] * (i % 3))))
+    sizes = {}
+
+    def stored(df, name, *more):
+        out = kept(df, name, *more)
+        sizes.setdefault(name, out.count())
+        return out
+
+    kept = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", stored)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == brute_groups(rows, 3, 90)
+    assert sizes["shared"] < 300, sizes
+
+
 @pytest.mark.parametrize("bits", [10, 12, 21])
 def test_bitmap_of_numbers(spark, bits):
     numbers = random.Random(bits).sample(range(1 << bits), 900)
