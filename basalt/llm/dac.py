@@ -15,8 +15,10 @@ lowest first), its rank directories (u64 a block, u16 a word) and its chunk byte
 from __future__ import annotations
 
 import itertools
+import re
 import struct
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -111,7 +113,37 @@ def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, DirectCodes]:
 #: Code points of texts that go to the library at once: its results are many times larger.
 CALL_CHARS = 400_000
 
-_LOADED: dict[str, object] = {}
+#: Code points that `byte_first` writes the library's split out for: Latin letters and the punctuation of prose.
+COVERED = [*range(0x250), *range(0x2010, 0x2028)]
+
+_LOADED: dict[str, tuple] = {}
+
+
+def byte_first(tokenizer) -> bool:
+    """Has a plain byte-level tokenizer map a text's bytes to letters before it splits the text, not piece by piece after: same ids, for texts of COVERED alone.
+
+    The split is the library's pattern over the letters of bytes; which code points are letters, numbers or
+    blanks is asked of the library. False, and nothing changed, for a tokenizer that prepares texts in any other way.
+    """
+    from tokenizers import Regex, pre_tokenizers
+
+    own = tokenizer.pre_tokenizer
+    if tokenizer.normalizer is not None or not isinstance(own, pre_tokenizers.ByteLevel) or own.add_prefix_space or not own.use_regex:
+        return False
+    mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    kinds = defaultdict(lambda: defaultdict(str))  # by kind and letters before the last: the last letters
+    for c in map(chr, COVERED):
+        kind = next((k for k in "a1!" if len(own.pre_tokenize_str(k + c)) == 1), " ")
+        letters = mapped.pre_tokenize_str(c)[0][0]
+        kinds[kind][letters[:-1]] += f"\\x{{{ord(letters[-1]):x}}}"
+
+    def one(kind: str) -> str:
+        return "(?:" + "|".join(f"{lead}[{last}]" + "++" * (not lead and kind != " ") for lead, last in sorted(kinds[kind].items())) + ")"
+
+    blank = one(" ")
+    split = "|".join([f"Ġ?{one('a')}++", "'(?:[stmd]|re|ve|ll)", f"Ġ?{one('1')}++", f"Ġ?{one('!')}++", f"{blank}+(?={blank}|\\z)", f"{blank}+"])
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([mapped, pre_tokenizers.Split(Regex(split), "isolated")])
+    return True
 
 
 def library_encoder(path: str):
@@ -119,17 +151,24 @@ def library_encoder(path: str):
     if path not in _LOADED:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
-        _LOADED[path] = tokenizer
-    tokenizer = _LOADED[path]
+        tokenizer, quick = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (tokenizer, quick):
+            t.no_padding()
+            t.no_truncation()
+        _LOADED[path] = tokenizer, quick if byte_first(quick) else None
+    tokenizer, quick = _LOADED[path]
+    uncovered = re.compile("[^" + "".join(map(re.escape, map(chr, COVERED))) + "]")
 
     def encode(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts, counts, call, size = [np.empty(0, np.uint32)], [], [], 0
 
         def flush():
-            lists = [e.ids for e in tokenizer.encode_batch_fast(call, add_special_tokens=False)]
+            lists = [[]] * len(call)
+            covered = [quick is not None and not uncovered.search(text) for text in call]
+            for coder, is_own in ((quick, True), (tokenizer, False)):
+                at = [i for i, c in enumerate(covered) if c == is_own]
+                for i, e in zip(at, coder.encode_batch_fast([call[i] for i in at], add_special_tokens=False) if at else []):
+                    lists[i] = e.ids
             counts.extend(map(len, lists))
             parts.append(np.fromiter(itertools.chain.from_iterable(lists), np.uint32, sum(map(len, lists))))
 
@@ -185,6 +224,10 @@ def file_starts(files: DataFrame) -> DataFrame:
     return inside.join(ahead, "part").select("part", "seq", (F.col("inside") + F.coalesce("ahead", F.lit(0))).alias("before"))
 
 
+#: Ids that are read at once, and those up to the end of a document.
+READ_IDS = 1 << 16
+
+
 def read_codes(files: DataFrame) -> DataFrame:
     """One row per document of written files: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
 
@@ -192,9 +235,11 @@ def read_codes(files: DataFrame) -> DataFrame:
         for batch in batches:
             for part, seq, payload in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist(), batch.column("payload")):
                 docs, starts, codes = unpack(payload.as_buffer().to_pybytes())
-                # each document's ids by their own places
-                sums = [zlib.crc32(codes.access(np.arange(a, b)).astype("<u4")) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-                n = len(docs)
+                n, sums = len(docs), []
+                # documents' ids by their own places, for those that start in one stretch of ids together
+                for i, j in itertools.pairwise([*np.flatnonzero(np.diff(starts[:-1] // READ_IDS, prepend=-1)).tolist(), n]):
+                    ids = codes.access(np.arange(starts[i], starts[j])).astype("<u4")
+                    sums += [zlib.crc32(ids[a:b]) for a, b in itertools.pairwise((starts[i : j + 1] - starts[i]).tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(docs, mask=docs == NULL_DOC), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(sums, pa.int64())],
                     names=["part", "seq", "doc_id", "within", "n_tokens", "ids_crc32"],

@@ -67,6 +67,48 @@ def test_direct_codes(n, top):
         codes.access([n])
 
 
+def test_bytes_mapped_before_the_split_give_the_same_ids():
+    tok, quick = library(), library()
+    assert dac.byte_first(quick)
+    covered = list(map(chr, dac.COVERED))
+    texts = [f"a{c}b {c}c{c} 1{c}2 {c}3 !{c}! '{c}s '{c}\n{c}  {c}{c}   {c}\t{c}x{c}" for c in covered]
+    rng = np.random.default_rng(5)
+    hot = [*" \n\t'strvemldSA19!é×ªµ²½\x85\xa0’…\x1c\x00\x7f\xad", "<|endoftext|>", "'ll", "  "]
+    texts += ["".join(rng.choice(hot, n)) for n in rng.integers(0, 30, 3000)]
+    for text, a, b in zip(texts, tok.encode_batch_fast(texts), quick.encode_batch_fast(texts)):
+        assert a.ids == b.ids, text
+
+
+def test_texts_of_any_code_points_side_by_side():
+    texts = [*ODD, *(f"a {c} b{c}" for c in "éŁɐ–漢́\u2028\u3000𝔘"), None, "漢 字", "plain"]
+    flat, offsets = dac.library_encoder(PATH)(pa.array([t or "" for t in texts]))
+    for t, a, b in zip(texts, offsets[:-1], offsets[1:]):
+        assert flat[a:b].tolist() == library().encode(t or "", add_special_tokens=False).ids
+
+
+def test_other_tokenizers_keep_their_own_split():
+    from tokenizers import normalizers, pre_tokenizers
+
+    spaced, lowered, other = library(), library(), library()
+    spaced.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    lowered.normalizer = normalizers.Lowercase()
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    for t in (spaced, lowered, other):
+        before = t.to_str()
+        assert not dac.byte_first(t) and t.to_str() == before
+
+
+def test_small_documents_are_read_back_together(spark, monkeypatch):
+    monkeypatch.setattr(dac, "READ_IDS", 7)
+    rows = [(i, "word " * (i % 5)) for i in range(40)] + [(99, "long text " * 30), (100, "")]
+    got = {r.doc_id: r for r in dac.read_codes(dac.write_codes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH)).collect()}
+    at = 0
+    for i, t in rows:
+        ids = [*library().encode(t, add_special_tokens=False).ids, 0]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_token_files(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string").selectExpr("*", "1 AS start", "2 AS part")
     got = {(r.doc_id, r.start): r for r in dac.read_codes(dac.write_codes(df.repartition(3), PATH)).collect()}
