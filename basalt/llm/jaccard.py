@@ -9,10 +9,11 @@ reach the threshold, and the surviving pairs are verified on the whole sets.
 At scale one tree over all points would compare everything of like size, so the points are first
 dealt into blocks, none of which loses a pair: under any fixed order of tokens, two sets with
 J >= t share a token among the first n - ceil(t n) + 1 of each. The order is by hash, but tokens
-that several documents share come last, so shared passages do not make blocks. Sharing is counted
-over all documents for the tokens of a fixed share of the hash range, into a bitmap whose size follows
-the number of shared ones; a counted token without its bit stands in one document only and names no
-block. Of two such sets the smaller has a shared token among its first n - ceil(2t n / (1 + t)) + 1
+that several documents share come after those of one document, and tokens that many share last, so
+shared passages and frequent phrases do not make blocks. Sharing is counted over all tokens of all
+different texts, into bitmaps whose size follows the number of shared ones; a token without its bit
+stands in one text only and names no block. The counts move as packed 32-bit numbers, not as rows.
+Of two such sets the smaller has a shared token among its first n - ceil(2t n / (1 + t)) + 1
 already, so a token that is in no set's first so many names no block either. Equal sets are one node.
 
 Links are found in turns, over the blocks that still hold several groups. First each node meets
@@ -41,8 +42,11 @@ FINE_GROUPS = 2048
 PER_GROUP = 2
 #: A count of 255 or more is stored as 255 and read as this: the bound only grows.
 FULL = 65535
-#: The counted share of the hash range, as a multiple of a prefix's share of a set.
-COUNTED = 1.75
+#: Tokens are counted by their upper bits: these name the part that counts them, 32 more the token there. Tokens that agree in all of
+#: them count as one, which only makes them look shared.
+PART_BITS = 10
+#: A token of so many texts comes last in the order.
+OFTEN = 32
 #: Bits of the shared-token bitmap for each shared token, and the most in all as a power of two. A false hit loses no pair, but a full
 #: bitmap makes every token look shared and so fills the prefixes.
 BITS_A_TOKEN = 8
@@ -104,44 +108,113 @@ def _groups(n: int) -> int:
     return max(LEAST_GROUPS, min(1 << max(2 * n - 1, 0).bit_length(), FINE_GROUPS), 1 << (max(n - 1, 0) // PER_GROUP).bit_length())
 
 
-def _limit(percent: int) -> np.uint64:
-    """The end of the hash range whose tokens are counted over all documents, in sixteenths of the whole."""
-    return np.uint64(min(15, int(np.ceil(16 * COUNTED * (100 - percent) / 100))) << 60)
+def _dealt(tokens: np.ndarray) -> pa.RecordBatch:
+    """The tokens as one row for each part: part, tokens (packed 32-bit numbers, ascending)."""
+    keys = np.sort(tokens >> np.uint64(32 - PART_BITS))
+    parts = (keys >> np.uint64(32)).astype(np.int32)
+    edges = np.concatenate([[0], np.flatnonzero(parts[1:] != parts[:-1]) + 1, [len(parts)]])
+    if not len(parts):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], names=["part", "tokens"])
+    offsets = pa.py_buffer((4 * edges).astype(np.int32))
+    packed = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, offsets, pa.py_buffer(keys.astype(np.uint32))])
+    return pa.RecordBatch.from_arrays([pa.array(parts[edges[:-1]]), packed], names=["part", "tokens"])
 
 
-def _counted_tokens(n: int, percent: int):
-    """Arrow mapper: text -> the tokens of the counted range, each once for each text."""
-    limit = _limit(percent)
+_PARTS = "part int, tokens binary"
+
+
+def _counted_tokens(n: int, only: bytes):
+    """Arrow mapper: doc_id, text -> the tokens of the documents in the bitmap `only`, each once for each text, packed by part."""
 
     def run(batches):
-        for batch in slices(batches):
-            every = [s[: int(np.searchsorted(s, limit))] for s in shingle_sets(texts(batch), n)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(every).view(np.int64))], names=["t"])
+        for batch in slices(_among(batches, "doc_id", only)):
+            yield _dealt(np.concatenate(shingle_sets(texts(batch), n)))
 
     return lean(run)
 
 
-def _token_bucket(s: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    # within the counted range the upper bits say little: the bucket comes from the lower ones
-    return (s & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+def _common(dealt: DataFrame, least: int) -> DataFrame:
+    """(part, shared, often), packed: the tokens that occur `least` times, and OFTEN times, at least."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, x in zip(batch.column("part").to_pylist(), batch.column("tokens").to_pylist()):
+                held.setdefault(part, []).append(x)
+        for part in list(held):
+            x = np.sort(np.frombuffer(b"".join(held.pop(part)), np.uint32))
+            heads = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
+            times = np.diff(heads, append=len(x))
+            packed = [pa.array([x[heads[times >= k]].tobytes()], pa.binary()) for k in (least, OFTEN)]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *packed], names=["part", "shared", "often"])
+
+    return stored(dealt.repartition("part").mapInArrow(lean(run), "part int, shared binary, often binary"), "many")
+
+
+def _part_bitmap(common: DataFrame, column: str) -> bytes:
+    """A bitmap over the packed tokens of a column, by their upper bits: a part's tokens lie side by side. Its size follows their number up to a bound."""
+    count = common.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    bits = min(BITMAP_BITS, max(16, (BITS_A_TOKEN * count // 4).bit_length()))
+    width = max(1, (1 << (bits - PART_BITS)) // 8)
+
+    def start(part: int) -> int:
+        return (part << (bits - PART_BITS)) >> 3
+
+    def own(batches):
+        for batch in batches:
+            for part, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = ((np.uint64(part << 32) | np.frombuffer(x, np.uint32)) >> np.uint64(32 + PART_BITS - bits)).astype(np.int64)
+                out = np.zeros(width, np.uint8)
+                np.bitwise_or.at(out, (at >> 3) - start(part), (128 >> (at & 7)).astype(np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in common.select("part", column).mapInArrow(own, "part int, bits binary").collect():  # the bitmap itself: 2**bits / 8 bytes at most
+        out[start(r.part) : start(r.part) + width] |= np.frombuffer(r.bits, np.uint8)
+    return out.tobytes()
 
 
 def _token_bitmap(shared: DataFrame) -> bytes:
-    """A bitmap over the shared tokens t, of a size that follows their number up to a bound."""
-    bits = min(BITMAP_BITS, max(16, (BITS_A_TOKEN * shared.count()).bit_length()))
-    return bitmap(shared.select(F.col("t").bitwiseAND((1 << bits) - 1).alias("k")), bits)
+    """A bitmap over the tokens t, of a size that follows their number up to a bound."""
+
+    def dealt(batches):
+        for batch in batches:
+            yield _dealt(batch.column("t").to_numpy(zero_copy_only=False).view(np.uint64))
+
+    common = _common(shared.select("t").mapInArrow(dealt, _PARTS), 1)
+    out = _part_bitmap(common, "shared")
+    discard(common)
+    return out
+
 
+def _told(s: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which tokens have their bit."""
+    at = (s >> np.uint64(65 - (8 * len(bitmap)).bit_length())).astype(np.int64)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
-def _described(n: int, percent: int, shared: bytes):
-    """Arrow mapper: doc_id, text -> doc_id, n, h1, h2, point, prefix, firsts. `shared`: the bitmap of counted tokens that texts share.
+
+def _shared_tokens(docs: DataFrame, n: int) -> tuple[bytes, bytes]:
+    """Bitmaps of the tokens that several different texts hold, and that many do. Of equal texts the one with the smallest doc_id counts."""
+    digest = (F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+    ids = stored(docs.where("doc_id is not null").groupBy(*(d.alias(f"d{i}") for i, d in enumerate(digest))).agg(F.min("doc_id").alias("id")).select("id"), "different")
+    only = _id_bitmap(ids, ids.count())
+    discard(ids)
+    common = _common(docs.where("doc_id is not null").mapInArrow(_counted_tokens(n, only), _PARTS), 2)
+    collected(docs.sparkSession)
+    out = _part_bitmap(common, "shared"), _part_bitmap(common, "often")
+    discard(common)
+    return out
+
+
+def _described(n: int, percent: int, shared: bytes, often: bytes):
+    """Arrow mapper: doc_id, text -> doc_id, n, h1, h2, point, prefix, firsts. Bitmaps of the tokens that several texts share, and many.
 
     The prefix leaves out tokens that stand in one text only; without any other the point is empty too.
     `firsts`: how many of the prefix are among those of which a larger set's prefix holds one.
     """
-    limit = _limit(percent)
 
     def run(batches):
-        bits = np.frombuffer(shared, np.uint8)
+        some, many = np.frombuffer(shared, np.uint8), np.frombuffer(often, np.uint8)
         for batch in slices(batches):
             size, h1, h2, points, prefixes, firsts = [], [], [], [], [], []
             for s in shingle_sets(texts(batch), n):
@@ -150,12 +223,14 @@ def _described(n: int, percent: int, shared: bytes):
                 h1.append(a)
                 h2.append(b)
                 keep = len(s) - (len(s) * percent + 99) // 100 + 1 if len(s) else 0
-                counted = int(np.searchsorted(s, limit))
-                at = _token_bucket(s[:counted], bits)
-                late = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-                alone = int(counted - late.sum())
-                # in order: counted tokens of one text, uncounted ones by hash, shared ones by hash
-                prefix = np.concatenate([s[counted:], s[:counted][late]])[: max(0, keep - alone)]
+                late = s[_told(s, some)]
+                alone = len(s) - len(late)
+                if keep > alone:
+                    # in order: tokens of one text, shared ones by hash, frequent ones by hash
+                    last = _told(late, many)
+                    prefix = np.concatenate([late[~last], late[last]])[: keep - alone]
+                else:
+                    prefix = late[:0]
                 prefixes.append(prefix.view(np.int64))
                 least = (2 * percent * len(s) + 99 + percent) // (100 + percent)
                 firsts.append(min(len(prefix), max(0, len(s) - least + 1 - alone)))
@@ -485,11 +560,8 @@ def jaccard_groups(documents: DataFrame, n: int = 3, percent: int = 90) -> DataF
     An empty table gives an empty table.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    many = stored(docs.mapInArrow(_counted_tokens(n, percent), "t long").groupBy("t").count().where("count > 1").select("t"), "many")
+    told = stored(docs.mapInArrow(_described(n, percent, *_shared_tokens(docs, n)), _DESCRIBED), "sets")
     collected(docs.sparkSession)
-    shared_bits = _token_bitmap(many)
-    discard(many)
-    told = stored(docs.mapInArrow(_described(n, percent, shared_bits), _DESCRIBED), "sets")
     named = told.where("doc_id is not null and n > 0")
     nodes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "point", "prefix", "firsts")))
     nodes = stored(nodes, "nodes")

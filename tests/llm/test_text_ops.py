@@ -482,6 +482,26 @@ def test_jaccard_blocks_of_shared_words(spark, monkeypatch):
     assert sizes["shared"] < 300, sizes
 
 
+def test_jaccard_blocks_of_copies(spark, monkeypatch):
+    """Equal texts count once and a passage of all texts comes last, so neither makes blocks of texts that are not alike."""
+    rng = random.Random(5)
+    passage = " ".join(rng.choice(WORDS) for _ in range(60))
+    rows = [(i + 1000 * k, f"{passage} " + " ".join(f"{w}{41 * i + j}" for j, w in enumerate(WORDS[:40]))) for i in range(120) for k in range(2)]
+    rows += [(5000 + i, t + " more") for i, t in rows[:20:4]]
+    sizes = {}
+
+    def stored(df, name, *more):
+        out = kept(df, name, *more)
+        sizes.setdefault(name, out.count())
+        return out
+
+    kept = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", stored)
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == brute_groups(rows, 3, 90)
+    assert sizes["different"] == 125 and sizes["shared"] < 60, sizes
+
+
 @pytest.mark.parametrize("bits", [10, 12, 21])
 def test_bitmap_of_numbers(spark, bits):
     numbers = random.Random(bits).sample(range(1 << bits), 900)
