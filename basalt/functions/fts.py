@@ -6,10 +6,12 @@ aggregates of it. Terms of a query are few, so the index is filtered before anyt
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import or_
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,7 @@ _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic"
 _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
 
 
+@lru_cache(1 << 17)
 def porter(w: str) -> str:
     """The Porter stem of a lower-case word."""
     if len(w) <= 2 or not w.isascii():
@@ -86,23 +89,37 @@ def porter(w: str) -> str:
     return w
 
 
+def word_start(stem: str) -> str:
+    """What every word of a stem starts with: the steps change two letters before a stem's end at most (`biliti` to `ble`), and never the first."""
+    return stem[: max(1, len(stem) - 2)]
+
+
+def stems(lists: pa.Array) -> pa.Array:
+    """Lists of words with each word's stem; a word that occurs often in a batch is stemmed once."""
+    words = lists.flatten().dictionary_encode()
+    flat = pa.array([porter(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat, mask=lists.is_null())
+
+
+def _stemmed(words: Column) -> Column:
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        return stems(lists)
+
+    return run(words)
+
+
+#: Characters of words, as a class's content.
+_LETTERS = {"ascii": "a-z0-9", "porter": "a-z0-9", "unicode61": r"\p{L}\p{N}"}
+
+
 def tokens(text: Column, tokenizer: str = "ascii") -> Column:
     """The array of a text's terms: ascii, unicode61 (letters and digits of any script) or porter (ascii, stemmed)."""
-    low = F.lower(text)
-    if tokenizer == "unicode61":
-        return F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
-    if tokenizer == "ascii":
-        return words
-    if tokenizer != "porter":
+    if tokenizer not in _LETTERS:
         raise ValueError(f"no tokenizer {tokenizer!r}")
-
-    @F.pandas_udf("array<string>")
-    def stemmed(lists: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return lists.map(lambda ws: None if ws is None else [known.setdefault(w, porter(w)) for w in ws])
-
-    return stemmed(words)
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"[{_LETTERS[tokenizer]}]+"), F.lit(0))
+    return _stemmed(words) if tokenizer == "porter" else words
 
 
 class TextIndex:
@@ -125,7 +142,15 @@ class TextIndex:
     def match_all(self, query: str) -> DataFrame:
         """(doc): documents that hold every term of the query."""
         terms = self.terms_of(query)
-        hit = self.postings.where(F.col("term").isin(terms))
+        if not terms:
+            return self.listed.select("doc").limit(0)
+        # only words that start like a term are cut out of the texts, and stemmed
+        starts = [word_start(t) if self.tokenizer == "porter" else t for t in terms]
+        letters, low = _LETTERS[self.tokenizer], F.lower("text")
+        words = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?<![{letters}])(?:{'|'.join(starts)})[{letters}]*"), F.lit(0)))
+        some = self.listed.where(reduce(or_, (F.contains(low, F.lit(t)) for t in starts))).select("doc", words.alias("words")).where(F.size("words") > 0)
+        places = some.select("doc", F.explode(_stemmed(F.col("words")) if self.tokenizer == "porter" else "words").alias("term"))
+        hit = places.where(F.col("term").isin(terms)).distinct()
         return hit.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") == len(terms)).select("doc")
 
     def prefix(self, start: str) -> DataFrame:

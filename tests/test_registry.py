@@ -45,3 +45,31 @@ def test_text_index(spark):
     assert ids(porter.match_all("foxing")) == [1, 2] and ids(porter.match_all("runs")) == [2]
     marked = spark.createDataFrame(rows, "k long, body string").select(fts.highlight(__import__("pyspark.sql.functions", fromlist=["col"]).col("body"), ["fox"]).alias("h")).first().h
     assert marked == "The quick brown <b>fox</b>"
+
+
+def test_stems_of_a_batch(monkeypatch):
+    pa = pytest.importorskip("pyarrow")
+    calls, porter = [], fts.porter
+    monkeypatch.setattr(fts, "porter", lambda w: calls.append(w) or porter(w))
+    lists = pa.array([["right", "rights"], None, [], ["rights"] * 500 + ["reserving"]])
+    assert fts.stems(lists).to_pylist() == [["right", "right"], None, [], ["right"] * 500 + ["reserv"]]
+    assert fts.stems(lists.slice(1)).to_pylist() == [None, [], ["right"] * 500 + ["reserv"]] and len(calls) == 5
+
+
+def test_words_start_like_their_stems():
+    import itertools
+
+    ends = ["", "s", "e", "y", "ed", "ing", "eed", "ies", "sses", "ion", *fts._STEP2, *fts._STEP3, *fts._STEP4]
+    starts = ["", "a", "y", "b", "is", "tr", "hop", "fall", "size", "probab", "conflat", "7a", "sens"]
+    words = {a + b + c for a, b, c in itertools.product(starts, ends, [*ends, "ability", "ities"])} - {""}
+    assert [w for w in words if not w.startswith(fts.word_start(fts.porter(w)))] == []
+
+
+def test_match_all_of_stems_equals_the_index(spark):
+    rows = [(1, "All Rights reserved."), (2, "right"), (2, "they RESERVE it"), (3, "rigid, reserves"), (4, None), (5, "preserve rights"), (6, "Right!reserving_right"), (7, "reservation rights"), (None, "reserve right")]
+    for tokenizer, query in (("porter", "reserving rights"), ("ascii", "right reserving"), ("unicode61", "right reserved"), ("ascii", "")):
+        ix = fts.TextIndex(spark.createDataFrame(rows, "k long, body string"), "k", "body", tokenizer)
+        terms = ix.terms_of(query)
+        want = [r.doc for r in ix.postings.where(ix.postings.term.isin(terms)).groupBy("doc").count().where(f"count = {len(terms)}").collect()]
+        assert sorted(map(str, (r.doc for r in ix.match_all(query).collect()))) == sorted(map(str, want))
+        assert tokenizer != "porter" or {1, 2, 6, 7, None} >= set(want) >= {1, 2, 6, None}
